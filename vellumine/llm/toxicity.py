@@ -1,8 +1,9 @@
 """Operator 5, toxicity: a convolutional text classifier trained in numpy.
 
-Words (A-Z lower-cased, punctuation at the ends taken off) are hashed into `slots` embeddings; filters
-of widths 1, 2 and 3 run over them, each is max-pooled over the whole text, and a logistic layer gives a
-logit.  The gradient of everything is written out below (Adam, mini-batches).  Thresholds are calibrated
+Words (A-Z lower-cased, cut at punctuation) and their prefixes of 4, 5 and 6 bytes are hashed into
+embeddings, whose sum is the word's: invented or inflected forms share a stem.  Words of few training
+documents share one embedding, since they could only be learned by heart.  Filters of widths 1, 2 and 3
+run over them, each is max-pooled over the whole text, and a logistic layer gives a logit.  The gradient of everything is written out below (Adam, mini-batches).  Thresholds are calibrated
 by language: languages are told apart from the text itself (shares of marked letters and of common short
 words, hashed, against centroids of the training sample found by k-means), and within each the logit
 that separates best on the calibration part is moved to a score of 0.7.  No column but the text is used.
@@ -28,14 +29,21 @@ SAMPLE = 6000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PUNCTUATION = np.zeros(256, bool)
-PUNCTUATION[list(b".,;:!?\"'()[]{}<>*_#-")] = True
+PUNCTUATION[list(b".,;:!?\"'()[]{}<>*_#-$%&|/\\~^+=@`")] = True
+PREFIXES = (4, 5, 6)  # bytes
 
 
 def word_slots(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each word, first word of each text). Slot 0 is kept for words of punctuation only."""
+    """(slots of each word and of its prefixes, first word of each text). Slot 0: no such prefix."""
     body = np.where(PUNCTUATION[body], np.uint8(32), LOWER[body])
     starts, ends, first = words_of(body, offsets)
-    return (range_hashes(body, starts, ends) % U(SLOTS - 1)).astype(np.int64) + 1, first
+    out = np.zeros((len(starts), 1 + len(PREFIXES)), np.int32)
+    out[:, 0] = range_hashes(body, starts, ends) % U(SLOTS - 1) + U(1)
+    for k, size in enumerate(PREFIXES):
+        long = np.flatnonzero(ends - starts > size)
+        salt = U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
+        out[long, k + 1] = (range_hashes(body, starts[long], starts[long] + size) ^ salt) % U(SLOTS - 1) + U(1)
+    return out, first
 
 
 class Network:
@@ -67,9 +75,10 @@ class Network:
                 m = end - lo - w + 1
                 if m <= 0:
                     continue
-                act = t[0][slots[lo : lo + m]] + self.b[c]
-                for k in range(1, w):
-                    act += t[k][slots[lo + k : lo + k + m]]
+                act = np.tile(self.b[c], (m, 1))
+                for k in range(w):
+                    for part in slots[lo + k : lo + k + m].T:
+                        act += t[k][part]
                 at = np.arange(lo, lo + m)
                 doc = np.searchsorted(first, at, "right") - 1
                 inside = at + w <= first[doc + 1]
@@ -134,6 +143,10 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
     for i, j in steps(offsets):
         slots, first = word_slots(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         docs += [slots[first[k] : first[k + 1]] for k in range(j - i)]
+    # words of few documents can only be learned by heart: all of them are one word
+    seen = np.bincount(np.concatenate([np.unique(d) for d in docs] + [np.zeros(0, np.int64)]), minlength=SLOTS)
+    rare = seen < max(4, len(docs) // 1000)
+    docs = [np.where(rare[d], 0, d) for d in docs]
     held = np.arange(len(docs)) % 5 == 4
     fit, calibrate = np.flatnonzero(~held), np.flatnonzero(held)
     names = [net.emb, *net.w, *net.b, net.out, net.bias]
@@ -158,6 +171,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
                 else:
                     m2[k][rows] += d * d  # of embeddings, AdaGrad on the rows met
                     p[rows] -= 5 * rate * d / (np.sqrt(m2[k][rows]) + 1e-6)
+    net.emb[rare] = net.emb[0]
     net.freeze()
     features = np.vstack([language_features(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in steps(offsets)])
     net.centroids = k_means(features, GROUPS)
@@ -189,8 +203,8 @@ def backward(net: Network, docs: list[np.ndarray], y: np.ndarray):
     """Gradients of the mean logistic loss: (None, dense) or (rows, their gradients) by parameter."""
     sizes = np.array([len(d) for d in docs])
     first = np.r_[0, np.cumsum(sizes)]
-    slots = np.concatenate(docs) if first[-1] else np.zeros(0, np.int64)
-    x = net.emb[slots]
+    slots = np.concatenate(docs)
+    x = net.emb[slots].sum(1)
     n = len(docs)
     pooled = np.zeros((n, FILTERS * len(WIDTHS)), np.float32)
     argmax = np.full((n, FILTERS * len(WIDTHS)), -1, np.int64)
@@ -223,8 +237,9 @@ def backward(net: Network, docs: list[np.ndarray], y: np.ndarray):
             gb[c][f] = dp.sum()
             for k in range(w):
                 gw[c][k, :, f] = dp @ x[at + k]
-                rows.append(slots[at + k])
-                parts.append(dp[:, None] * net.w[c][k][:, f][None])
+                for part in slots[at + k].T:
+                    rows.append(part)
+                    parts.append(dp[:, None] * net.w[c][k][:, f][None])
     rows, parts = np.concatenate(rows), np.concatenate(parts)
     unique, inverse = np.unique(rows, return_inverse=True)
     demb = np.zeros((len(unique), DIM), np.float32)
