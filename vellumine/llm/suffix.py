@@ -28,7 +28,7 @@ def _scan(sa: np.ndarray, t: np.ndarray, want: np.ndarray, free: np.ndarray, rig
     while done < n:
         upto = min(done + m, n)
         part = sa[n - upto : n - done][::-1] if right else sa[done:upto]
-        idx = np.flatnonzero(part > 0)
+        idx = (part > 0).nonzero()[0]
         p = part[idx] - 1
         ok = want[p]
         idx, p = idx[ok], p[ok]
@@ -45,9 +45,13 @@ def _scan(sa: np.ndarray, t: np.ndarray, want: np.ndarray, free: np.ndarray, rig
             if len(p):
                 order = np.argsort(c, kind="stable")
                 c, p = c[order], p[order]
-                cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                counts = np.diff(np.r_[cut, len(c)])
-                rank = np.arange(len(c)) - np.repeat(cut, counts)
+                fresh = np.empty(len(c) + 1, bool)
+                fresh[0] = fresh[-1] = True
+                np.not_equal(c[1:], c[:-1], out=fresh[1:-1])
+                cut = fresh.nonzero()[0]
+                counts = cut[1:] - cut[:-1]
+                cut = cut[:-1]
+                rank = np.arange(len(c)) - cut.repeat(counts)
                 if right:
                     sa[free[c] - 1 - rank] = p
                     free[c[cut]] -= counts

@@ -2,7 +2,8 @@
 
 A window is `length` consecutive symbols (bytes, or words as 64-bit hashes) of one text.
 
-1. Texts are written once, as compressed groups, into the shared folder; later steps read that table.
+1. Texts are written once, as compressed groups, into files of the shared folder; later steps read
+   them there, so texts are never shuffled.
 2. Each window has an anchor, its least-hashed run of `gram` symbols (a minimizer), which depends on the
    window alone; consecutive windows with one anchor form a segment. Hashes of anchors, distinct by
    group, are dealt out in packed arrays; those that occur twice or more come back to their groups.
@@ -25,6 +26,7 @@ are whole. Empty table: empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, column_bytes, column_ids, id_text, materialize, mix, pack, range_hashes, ready, runs, shuffle_parts, steps, unpack, words_of
+from .common import U, column_bytes, column_ids, id_text, materialize, mix, pack, range_hashes, ready, runs, shared_dir, shuffle_parts, steps, unpack, words_of
 from .suffix import WaveletIndex, joined, permuted_lcp, suffix_array
 
 GROUP_BYTES = 6 << 20
-CHUNK = 1 << 19
+CHUNK = 1 << 21
 LAST = np.iinfo(np.int64).max
 
 
@@ -92,36 +94,64 @@ WORDS = Windows(True, 35, 8)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """(gid, ids, valid, sizes, texts): groups of about GROUP_BYTES of text, compressed."""
+    """(gid, path, at, size, head): groups of about GROUP_BYTES of text, compressed, in files of the
+    shared folder, one a task. Only this list of them, with ids and sizes, is ever shuffled. An attempt
+    writes a file of its own; the list is written out, so it names the files of one attempt for good."""
+    folder = f"{shared_dir(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
 
     def run(batches):
         import zstandard
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        base, k = TaskContext.get().partitionId() << 33, 0
+        store, root = fs.FileSystem.from_uri(folder)
+        part, k, at, out = TaskContext.get().partitionId(), 0, 0, None
+        path = f"{root}/part-{part:07d}-{uuid.uuid4().hex}.texts"
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             body, offsets = column_bytes(batch.column("text"))
             ids, valid = column_ids(batch.column("doc_id"))
+            rows = []
             for i, j in steps(offsets, GROUP_BYTES):
-                sizes = np.diff(offsets[i : j + 1])
-                blob = pack(ids[i:j], valid[i:j], sizes)
+                if out is None:
+                    store.create_dir(root, recursive=True)
+                    out = store.open_output_stream(path, compression=None)
                 text = squeeze.compress(body[offsets[i] : offsets[j]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([blob], pa.binary()), pa.array([text], pa.binary())], names=["gid", "head", "texts"])
-                k += 1
+                out.write(text)
+                rows.append(((part << 33) + k, path, at, len(text), pack(ids[i:j], valid[i:j], np.diff(offsets[i : j + 1]))))
+                at, k = at + len(text), k + 1
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["gid", "path", "at", "size", "head"])
+        if out is not None:
+            out.close()
 
-    return materialize(id_text(docs).mapInArrow(run, "gid long, head binary, texts binary"), "groups")
+    listed = materialize(id_text(docs).mapInArrow(run, "gid long, path string, at long, size long, head binary"), "groups")
+    # a list of a few rows a task: dealt out again, since reading it back would put it into few tasks
+    return listed.withColumn("root", F.lit(folder)).repartition(2 * shuffle_parts(docs.sparkSession), "gid")
 
 
-def opened(head: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, valid, bytes, offsets) of a group."""
     import zstandard
-
-    ids, valid, sizes = unpack(head, np.int64, bool, np.int64)
-    raw = zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, int(sizes.sum()))) if len(texts) and sizes.sum() else b""
+    from pyarrow import fs
+
+    ids, valid, sizes = unpack(row["head"], np.int64, bool, np.int64)
+    raw, total = b"", int(sizes.sum())
+    if total:
+        store, _ = fs.FileSystem.from_uri(row["root"])
+        with store.open_input_file(row["path"]) as f:
+            raw = zstandard.ZstdDecompressor().decompress(f.read_at(row["size"], row["at"]), max_output_size=total)
     return ids, valid, np.frombuffer(raw, np.uint8), np.r_[0, np.cumsum(sizes)]
 
 
+def rows_of(batches):
+    """Rows as dicts, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
 def all_segments(how: Windows, body: np.ndarray, offsets: np.ndarray):
     """For each step of a group: (symbols, first symbol in the group, offsets, first text, segments)."""
     base = 0
@@ -161,16 +191,15 @@ def repeated_anchors(groups: DataFrame, how: Windows, parts: int) -> DataFrame:
     """(gid, blobs): packed (anchors that occur twice or more, hot flags) of each group."""
 
     def count(batches):
-        for batch in batches:
-            for gid, head, texts in zip(*(batch.column(c).to_pylist() for c in ("gid", "head", "texts")), strict=True):
-                _, _, body, offsets = opened(head, texts)
-                keys, counts = np.unique(np.concatenate([np.zeros(0, U), *[s[2] for *_, s in all_segments(how, body, offsets)]]), return_counts=True)
-                out, blobs = [], []
-                for p, at in by_part(keys, parts):
-                    many = at[counts[at] > 1]
-                    out.append(p)
-                    blobs.append(pack(six(keys[at[counts[at] == 1]]), six(keys[many]), counts[many].astype(np.uint32)))
-                yield blob_batch(out, gid, blobs)
+        for row in rows_of(batches):
+            _, _, body, offsets = opened(row)
+            keys, counts = np.unique(np.concatenate([np.zeros(0, U), *[s[2] for *_, s in all_segments(how, body, offsets)]]), return_counts=True)
+            out, blobs = [], []
+            for p, at in by_part(keys, parts):
+                many = at[counts[at] > 1]
+                out.append(p)
+                blobs.append(pack(six(keys[at[counts[at] == 1]]), six(keys[many]), counts[many].astype(np.uint32)))
+            yield blob_batch(out, row["gid"], blobs)
 
     def meet(table: pa.Table) -> pa.Table:
         gids = table.column("gid").to_numpy()
@@ -229,53 +258,52 @@ def deal_segments(groups: DataFrame, anchors: DataFrame, how: Windows, parts: in
     """BLOBS for shards: packed (place | hot bit, anchor, windows, weight, symbols) of distinct contents."""
 
     def run(batches):
-        for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("gid", "head", "texts", "blobs"))
-            for gid, head, texts, blobs in zip(*cols, strict=True):
-                ids, valid, body, offsets = opened(head, texts)
-                docs = sent_ids(ids, valid)
-                keys, hot = [], []
-                for b in blobs:
-                    k, h = unpack(b, np.uint8, bool)
-                    keys.append(from_six(k))
-                    hot.append(h)
-                keys, hot = np.concatenate(keys), np.concatenate(hot)
-                order = np.argsort(keys)
-                keys, hot = keys[order], hot[order]
-                parts_of: list[list[np.ndarray]] = [[] for _ in range(7)]  # content, place, anchor, windows, weight, hot, symbols
-                for values, base, off, text, segs in all_segments(how, body, offsets):
-                    at = np.minimum(np.searchsorted(keys, segs[2]), len(keys) - 1)
-                    met = keys[at] == segs[2]
-                    cold = np.flatnonzero(met & ~hot[at])
-                    many = np.flatnonzero(met & hot[at])
-                    # hot: each window on its own
-                    sizes = segs[1][many]
-                    own = np.repeat(many, sizes)
-                    start = np.concatenate((segs[0][cold], segs[0][own] + runs(sizes)))
-                    n_win = np.concatenate((segs[1][cold], np.ones(len(own), np.int64)))
-                    is_hot = np.r_[np.zeros(len(cold), bool), np.ones(len(own), bool)]
-                    end = start + n_win - 1 + how.length
-                    content = range_hashes(values, start, end) ^ is_hot.astype(U)
-                    weight = contents(values, off, text, docs, how, segs, np.concatenate((cold, own)))
-                    first, joint, _ = distinct(content, weight, how)
-                    start, end = start[first], end[first]
-                    sizes = end - start
-                    anchor = np.where(is_hot[first], content[first] >> U(16), segs[2][np.concatenate((cold, own))[first]])
-                    symbols = values[np.repeat(start, sizes) + runs(sizes)]
-                    for k, x in enumerate((content[first], start + base, anchor, n_win[first], joint, is_hot[first], symbols)):
-                        parts_of[k].append(x)
-                content, place, anchor, n_win, weight, is_hot, symbols = map(np.concatenate, parts_of)
+        for row in rows_of(batches):
+            ids, valid, body, offsets = opened(row)
+            gid, blobs = row["gid"], row["blobs"]
+            docs = sent_ids(ids, valid)
+            keys, hot = [], []
+            for b in blobs:
+                k, h = unpack(b, np.uint8, bool)
+                keys.append(from_six(k))
+                hot.append(h)
+            keys, hot = np.concatenate(keys), np.concatenate(hot)
+            order = np.argsort(keys)
+            keys, hot = keys[order], hot[order]
+            parts_of: list[list[np.ndarray]] = [[] for _ in range(7)]  # content, place, anchor, windows, weight, hot, symbols
+            for values, base, off, text, segs in all_segments(how, body, offsets):
+                at = np.minimum(np.searchsorted(keys, segs[2]), len(keys) - 1)
+                met = keys[at] == segs[2]
+                cold = np.flatnonzero(met & ~hot[at])
+                many = np.flatnonzero(met & hot[at])
+                # hot: each window on its own
+                sizes = segs[1][many]
+                own = np.repeat(many, sizes)
+                start = np.concatenate((segs[0][cold], segs[0][own] + runs(sizes)))
+                n_win = np.concatenate((segs[1][cold], np.ones(len(own), np.int64)))
+                is_hot = np.r_[np.zeros(len(cold), bool), np.ones(len(own), bool)]
+                end = start + n_win - 1 + how.length
+                content = range_hashes(values, start, end) ^ is_hot.astype(U)
+                weight = contents(values, off, text, docs, how, segs, np.concatenate((cold, own)))
                 first, joint, _ = distinct(content, weight, how)
-                sizes = n_win + how.length - 1
-                begin = np.cumsum(sizes) - sizes
-                out, packed = [], []
-                for p, at in by_part(anchor[first], parts):
-                    f = first[at]
-                    s = sizes[f]
-                    body_of = symbols[np.repeat(begin[f], s) + runs(s)]
-                    packed.append(pack((place[f] << 1 | is_hot[f]).astype(np.int64), six(anchor[f]), n_win[f].astype(np.uint8), joint[at], body_of))
-                    out.append(p)
-                yield blob_batch(out, gid, packed)
+                start, end = start[first], end[first]
+                sizes = end - start
+                anchor = np.where(is_hot[first], content[first] >> U(16), segs[2][np.concatenate((cold, own))[first]])
+                symbols = values[np.repeat(start, sizes) + runs(sizes)]
+                for k, x in enumerate((content[first], start + base, anchor, n_win[first], joint, is_hot[first], symbols)):
+                    parts_of[k].append(x)
+            content, place, anchor, n_win, weight, is_hot, symbols = map(np.concatenate, parts_of)
+            first, joint, _ = distinct(content, weight, how)
+            sizes = n_win + how.length - 1
+            begin = np.cumsum(sizes) - sizes
+            out, packed = [], []
+            for p, at in by_part(anchor[first], parts):
+                f = first[at]
+                s = sizes[f]
+                body_of = symbols[np.repeat(begin[f], s) + runs(s)]
+                packed.append(pack((place[f] << 1 | is_hot[f]).astype(np.int64), six(anchor[f]), n_win[f].astype(np.uint8), joint[at], body_of))
+                out.append(p)
+            yield blob_batch(out, gid, packed)
 
     return groups.join(anchors, "gid").mapInArrow(run, BLOBS)
 
@@ -444,13 +472,11 @@ def removal(docs: DataFrame, how: Windows, finish, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("head", "texts", "blobs"))
-            for head, texts, blobs in zip(*cols, strict=True):
-                ids, valid, body, offsets = opened(head, texts)
-                _, first, gone = window_flags(how, body, offsets, sent_ids(ids, valid), blobs)
-                rows = finish(body, offsets, covered(gone, how.length), first)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), *[pa.array(c) for c in rows]], names=names)
+        for row in rows_of(batches):
+            ids, valid, body, offsets = opened(row)
+            _, first, gone = window_flags(how, body, offsets, sent_ids(ids, valid), row["blobs"])
+            cols = finish(body, offsets, covered(gone, how.length), first)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), *[pa.array(c) for c in cols]], names=names)
 
     return groups.join(decided, "gid", "left").mapInArrow(run, schema)
 
