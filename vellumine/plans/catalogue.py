@@ -354,7 +354,7 @@ j AS (SELECT s.span_id, s.page, r.region_id, s.cx BETWEEN r.x AND r.x + r.w AND
   power(s.cx - greatest(r.x, least(s.cx, r.x + r.w)), 2) + power(s.cy - greatest(r.y, least(s.cy, r.y + r.h)), 2) AS d2
   FROM s LEFT JOIN r ON s.page = r.page),
 o AS (SELECT page, span_id, region_id, row_number() OVER (PARTITION BY page, span_id ORDER BY CASE WHEN inside THEN 0 ELSE 1 END, CASE WHEN inside THEN -rank ELSE d2 END, CASE WHEN inside THEN area ELSE 0 END, region_id) AS n FROM j WHERE inside OR d2 <= 144)
-SELECT s.page, s.span_id, o.region_id FROM s LEFT JOIN o ON s.span_id = o.span_id AND s.page = o.page AND o.n = 1
+SELECT s.page, s.span_id, coalesce(o.region_id, -1) AS region_id FROM s LEFT JOIN o ON s.span_id = o.span_id AND s.page = o.page AND o.n = 1
 """
 
 
@@ -365,7 +365,8 @@ def span_region_assign(spark, sf_dir):
     regions = part_boxes(spark, sf_dir).select("page", F.col("p_partkey").alias("region_id"), F.element_at(kinds, (F.col("p_partkey") % 5 + 1).cast("int")).alias("class"), "bbox")
     l = table(spark, sf_dir, "lineitem")
     spans = l.select((F.col("l_partkey") % 50).alias("page"), (((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")).alias("span_id"), G.box(F.col("l_suppkey") * 7 % 200, F.col("l_orderkey") * 3 % 220, F.lit(0), F.lit(0)).alias("bbox")).distinct()
-    return S.assign_spans(spans, regions, ["page"], 12.0)
+    got = S.assign_spans(spans, regions, ["page"], 12.0)
+    return got.withColumn("region_id", F.coalesce("region_id", F.lit(-1)))  # an orphan: -1
 
 
 @query("WITH g AS (SELECT event_type, value, event_id, CASE WHEN value - lag(value) OVER (PARTITION BY event_type ORDER BY value) > 0.05 THEN 1 ELSE 0 END AS new FROM events), i AS (SELECT event_type, value, sum(new) OVER (PARTITION BY event_type ORDER BY value RANGE UNBOUNDED PRECEDING) AS island FROM g) SELECT event_type, CAST(island AS BIGINT) AS island, count(*) AS support, min(value) AS low, max(value) AS high FROM i GROUP BY event_type, island")
