@@ -12,7 +12,7 @@ import os
 import numpy as np
 
 #: Pieces that a worker remembers before it starts afresh.
-MEMORY = 250_000
+MEMORY = 600_000
 _loaded: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -50,11 +50,26 @@ class Encoder:
             space = " "
         return [q for p in out for q in (_lines(p) if "\n" in p else (p,))]
 
+    def short(self, pieces: list[str]) -> list[str]:
+        """Pieces in fewer forms: a full stop or comma after a letter (one that is one letter however it
+        is normalized) is a token of its own in either
+        file's pattern, and ASCII capitals are no matter where the normalizer lowers them."""
+        lower, out = self.drops_space, []
+        for p in pieces:
+            if lower and p.isascii():
+                p = p.lower()
+            if p[-1:] in (".", ",") and p[-2:-1].isalpha() and p[-2] < "\u0130":
+                out.append(p[:-1])
+                out.append(p[-1])
+            else:
+                out.append(p)
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        cut = [self.pieces(t) for t in texts]
+        cut = [self.short(self.pieces(t)) for t in texts]
         new = list({p for ps in cut for p in ps if p not in known})
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
