@@ -34,11 +34,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> Dat
         tail = np.array([end_id], np.uint32)
         for batch in batches:
             ids, valid = column_ids(batch.column("doc_id"))
-            texts = batch.column("text")
-            for i in range(0, batch.num_rows, 256):
+            for i, _, flat, at in enc.encode_column(batch.column("text")):
                 rows = []
-                for k, x in enumerate(enc.encode([t or "" for t in texts.slice(i, 256).to_pylist()])):
-                    x = np.concatenate((x, tail)).astype("<u4")
+                for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                    x = np.concatenate((flat[a:b], tail)).astype("<u4")
                     cuts = list(range(len(x), 0, -size))[::-1]
                     for p, (a, b) in enumerate(zip([0, *cuts], cuts)):
                         rows.append((int(ids[i + k]) if valid[i + k] else None, p, a, b - a, zlib.crc32(x[a:b].tobytes())))

@@ -133,13 +133,12 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list
         edges = np.array(bounds, np.int64)
         for batch in batches:
             ids, valid = column_ids(batch.column("doc_id"))
-            texts = batch.column("text")
-            for i in range(0, batch.num_rows, 256):
-                got = [np.concatenate((x, tail)) for x in enc.encode([t or "" for t in texts.slice(i, 256).to_pylist()])]
-                own, ok = ids[i : i + 256], valid[i : i + 256]
+            for i, j, flat, at in enc.encode_column(batch.column("text")):
+                got = [np.concatenate((flat[a:b], tail)).astype(f"<u{width}").tobytes() for a, b in zip(at[:-1], at[1:])]
+                own, ok = ids[i:j], valid[i:j]
                 shard = np.where(ok, np.searchsorted(edges, own, "left"), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, mask=~ok), pa.array(shard, pa.int32()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.astype(f"<u{width}").tobytes() for x in got], pa.binary())],
+                    [pa.array(own, mask=~ok), pa.array(shard, pa.int32()), pa.array(np.diff(at) + len(tail)), pa.array(got, pa.binary())],
                     names=["doc_id", "shard", "n_ids", "ids"],
                 )
 

@@ -2,18 +2,31 @@
 
 A text is cut where the pre-tokenizer cuts it whatever stands around: before a single space or line
 feed that is followed by something other than white space, and after such a line feed.  Pieces are
-encoded by the library once and remembered, so the ids equal those of the whole text.
+encoded by the library once and remembered, so the ids equal those of the whole text.  Arrow cuts the
+texts and finds their distinct pieces; Python sees only these, and numpy puts the ids together again.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers before it starts afresh.
+from .common import column_bytes, steps
+
+#: Pieces that a worker remembers before it starts afresh, and bytes of text cut together.
 MEMORY = 600_000
-_loaded: dict[tuple[str, bool], "Encoder"] = {}
+TEXT_BYTES = 6 << 20
+#: Forms encoded together, with something between them that is one token of its own.
+TOGETHER = 256
+#: White space at an end, two of it in a row, or any but space and line feed: such texts are cut one by one.
+ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+OTHER_SPACE = re.compile(r"[^\S \n]")
+STOPS = (".", ",")
+_loaded: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -25,9 +38,11 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self.drops_space = bool(self.tok.normalizer)
         self.wide = self.tok.get_vocab_size() > 1 << 16
+        self.between = " | " if self.drops_space else "\n"
+        self.mark = self.tok.encode(self.between, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
         if self.drops_space:  # white space only ends matches there
@@ -50,32 +65,103 @@ class Encoder:
             space = " "
         return [q for p in out for q in (_lines(p) if "\n" in p else (p,))]
 
-    def short(self, pieces: list[str]) -> list[str]:
-        """Pieces in fewer forms: a full stop or comma after a letter (one that is one letter however it
-        is normalized) is a token of its own in either
-        file's pattern, and ASCII capitals are no matter where the normalizer lowers them."""
-        lower, out = self.drops_space, []
-        for p in pieces:
-            if lower and p.isascii():
-                p = p.lower()
-            if p[-1:] in (".", ",") and p[-2:-1].isalpha() and p[-2] < "\u0130":
-                out.append(p[:-1])
-                out.append(p[-1])
-            else:
-                out.append(p)
-        return out
+    def learn(self, forms: list[str]) -> None:
+        """Encode forms. Simple ones go together and are told apart by the token between them."""
+        known, alone = self.known, []
+        groups = [forms[i : i + TOGETHER] for i in range(0, len(forms), TOGETHER)]
+        joined = [self.between.join(g) for g in groups]
+        simple = [self.simple(x, len(g)) for x, g in zip(joined, groups, strict=True)]
+        alone = [f for g, ok in zip(groups, simple, strict=True) if not ok for f in g]
+        groups, joined = [g for g, ok in zip(groups, simple, strict=True) if ok], [x for x, ok in zip(joined, simple, strict=True) if ok]
+        for k in range(0, len(groups), 16):
+            for group, e in zip(groups[k : k + 16], self.tok.encode_batch_fast(joined[k : k + 16], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                at = np.flatnonzero(ids == self.mark[0]) * 4
+                if len(at) != len(group) - 1:
+                    alone += group
+                    continue
+                raw = ids.tobytes()
+                known.update(zip(group, [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)], strict=True))
+        for i in range(0, len(alone), 4096):
+            part = alone[i : i + 4096]
+            for f, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[f] = np.array(e.ids, np.uint32).tobytes()
+
+    def simple(self, joined: str, n: int) -> bool:
+        """Whether n forms hold no white space (but for one space in front, where it matters) nor the mark."""
+        if len(self.mark) != 1:
+            return False
+        if self.drops_space:
+            return joined.count("|") == n - 1 and len(joined.split()) == 2 * n - 1
+        odd = "  " in joined or " \n" in joined or joined[-1:] == " " or OTHER_SPACE.search(joined)
+        return not odd and joined.count("\n") == n - 1 and len(joined.split()) == n
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as 32-bit integers. A full stop or comma after a letter (one that is one
+        letter however it is normalized) is a token of its own in either file's pattern, and ASCII
+        capitals are no matter where the normalizer lowers them: so pieces have fewer forms."""
+        known = self.known
+        found = [known.get(p) for p in pieces]
+        new = [k for k, x in enumerate(found) if x is None]
+        if not new:
+            return found
+        own = forms = [pieces[k] for k in new]
+        if self.drops_space:
+            forms = [p.lower() if p.isascii() else p for p in forms]
+        ends = [p[-1:] if p[-1:] in STOPS and p[-2:-1].isalpha() and p[-2] < "\u0130" else "" for p in forms]
+        forms = [p[:-1] if e else p for p, e in zip(forms, ends, strict=True)]
+        self.learn([f for f in dict.fromkeys([*forms, ".", ","]) if f not in known])
+        for k, p, f, e in zip(new, own, forms, ends, strict=True):
+            found[k] = known[p] = known[f] + known[e] if e else known[f]
+        return found
+
+    def encode_step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        odd = np.zeros(n, bool) if self.drops_space else pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd))
+        cut = pc.split_pattern(pc.replace_substring(plain, "\n", " " if self.drops_space else " \n"), " ")
+        parts = np.ones(n, np.int64)
+        parts[~odd] = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+        coded = cut.flatten().dictionary_encode()
+        values = coded.dictionary
+        index = np.zeros(int(parts.sum()), np.int64)
+        at = np.repeat(~odd, parts)
+        index[at] = coded.indices.to_numpy(zero_copy_only=False)
+        if self.drops_space:
+            found = self.ids_of(values.to_pylist())
+        else:
+            after = pc.starts_with(values, "\n")
+            found = self.ids_of(pc.if_else(after, pc.utf8_slice_codeunits(values, 1), pc.binary_join_element_wise("", values, " ")).to_pylist())
+            line = self.ids_of(["\n"])[0]
+            for k in np.flatnonzero(after.to_numpy(zero_copy_only=False)).tolist():
+                found[k] = line + found[k]
+            begins = (np.cumsum(parts) - parts)[~odd]  # no space before the first
+            firsts = values.take(pa.array(index[begins])).to_pylist()
+            index[begins] = len(found) + np.arange(len(begins))
+            found += self.ids_of(firsts)
+            whole = [self.pieces(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+            index[~at] = len(found) + np.arange(len(whole))
+            found += [b"".join(self.ids_of(ps)) for ps in whole]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        each = sizes[index]
+        ends = np.r_[0, np.cumsum(each)]
+        shift = (np.cumsum(sizes) - sizes)[index] - ends[:-1]
+        return flat[np.repeat(shift, each) + np.arange(ends[-1])], ends[np.r_[0, np.cumsum(parts)]]
+
+    def encode_column(self, texts: pa.Array):
+        """For each step of a string column: (first row, last row, ids one after another, offsets)."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = texts.fill_null("")
+        _, offsets = column_bytes(texts)
+        for i, j in steps(offsets, TEXT_BYTES):
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            yield i, j, *self.encode_step(texts.slice(i, j - i))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        cut = [self.short(self.pieces(t)) for t in texts]
-        new = list({p for ps in cut for p in ps if p not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in ps]), np.uint32) for ps in cut]
+        return [ids[a:b] for _, _, ids, at in self.encode_column(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:])]
 
 
 def _lines(piece: str) -> list[str]:
