@@ -38,3 +38,21 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+def test_runs(spark, name):
+    got = catalogue.QUERIES[name](spark, SF)
+    assert got.count() > 0
+
+
+def test_pages_as_files_have_the_same_text(spark):
+    """Decoded in Python and by Column functions: the same paragraphs of every page."""
+    from pyspark.sql import functions as F
+
+    files = catalogue.QUERIES["extract_pages"](spark, SF).where("kind is not null")
+    one = {(r.path, r.block_index): r.text for r in files.select("path", "block_index", "text").collect()}
+    two = {(f"{r.page_id}.html", r.block_index): r.text for r in catalogue.QUERIES["html_blocks"](spark, SF).select("page_id", F.col("block_index"), "text").collect()}
+    assert {k[0] for k in one} == {k[0] for k in two}
+    plain = lambda d: {k: " ".join(v.replace("©", "&copy;").replace("·", "&middot;").split()) for k, v in d.items()}
+    assert plain(one) == plain(two)
