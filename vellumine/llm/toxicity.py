@@ -9,7 +9,8 @@ words, hashed, against centroids of the training sample found by k-means), and w
 that separates best on the calibration part is moved to a score of 0.7.  No column but the text is used.
 
 Training: at most `sample` labelled rows whose crc32(doc_id as text) mod 3 is not 1, the ones with the
-smallest hash of their id, equally many of either label if there are; every fifth calibrates.  Labels of
+smallest hash of their id, equally many of either label if there are, but for texts over `longest`
+characters; every fifth calibrates.  Labels of
 repeated ids are averaged (0.5 and more: 1).  Without labels, or with one label only, scores are 0.5 or
 that label's share.  Null text: scored as empty.  Null doc_id: scored, not held out.  Repeated rows: each
 returned.  Empty table: empty result.  Texts are scored whole, by blocks of words joined by maximum.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import U, column_bytes, id_text, range_hashes, ready, step_texts, steps, words_of
 
 WIDTHS, FILTERS, DIM, SLOTS, GROUPS = (1, 2, 3), 6, 12, 1 << 16, 4
-SAMPLE = 6000
+SAMPLE, LONGEST = 6000, 48_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PUNCTUATION = np.zeros(256, bool)
@@ -252,8 +253,9 @@ def held_out(doc_id) -> F.col:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Train on a bounded sample of labelled rows outside the held-out fold (`sample` documents)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Network:
+    """Train on a bounded sample of labelled rows outside the held-out fold: `sample` documents at most,
+    of whole texts of at most `longest` characters each."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id is not null and toxic is not null")
     marked = marked.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
@@ -265,10 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))
     texts = id_text(docs).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-    # a text longer than this is learned from its windows with the most even spread: head, middle and tail
-    n, part = F.length("text"), 16_000
-    text = F.when(n <= 3 * part, F.col("text")).otherwise(F.concat_ws(" ", F.substring("text", 1, part), F.expr(f"substring(text, length(text) div 2, {part})"), F.expr(f"right(text, {part})")))
-    rows = texts.select("doc_id", F.coalesce(text, F.lit("")).alias("text"), "toxic").orderBy(F.xxhash64(F.lit("order"), F.col("doc_id")), "doc_id")
+    whole = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    rows = whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").orderBy(F.xxhash64(F.lit("order"), F.col("doc_id")), "doc_id")
     got = rows.toArrow()
     body, offsets = column_bytes(got.column("text"))
     return train([body[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], np.array(got.column("toxic").to_pylist()))
