@@ -249,12 +249,14 @@ ADJACENT_SQL = "SELECT conv_id, turn, truth, output FROM (SELECT conv_id, turn,
 
 @query(f"SELECT conv_id, turn, CASE WHEN length(truth) = 0 THEN CASE WHEN output = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE levenshtein(truth, output)::DOUBLE / length(truth) END AS cer, CASE WHEN greatest(length(truth), length(output)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(truth, output)::DOUBLE / greatest(length(truth), length(output)) END AS edit_similarity FROM ({ADJACENT_SQL})")
 def char_error_rate(spark, sf_dir):
-    """Of adjacent turns, plain ASCII, up to the cap beyond which the quadratic distance is not taken."""
+    """Of every two adjacent turns; null for a null text and above the reference's cap of 20,000 characters.
+    The SQL covers plain ASCII pairs of at most 2,000 characters only: DuckDB's levenshtein counts bytes."""
     turns = table(spark, sf_dir, "conversations")
     order = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = turns.select("conv_id", "turn", F.col("text").alias("output"), F.lag("text").over(order).alias("truth")).where("truth is not null")
-    pairs = pairs.where((F.length("truth") <= 2000) & (F.length("output") <= 2000) & F.regexp_like(F.concat("truth", "output"), F.lit(r"(?s)^[\x00-\x7F]*$")))
-    return pairs.select("conv_id", "turn", M.char_error_rate(F.col("truth"), F.col("output")).alias("cer"), M.edit_similarity(F.col("truth"), F.col("output")).alias("edit_similarity"))
+    pairs = turns.select("conv_id", "turn", F.col("text").alias("output"), F.lag("text").over(order).alias("truth"), F.row_number().over(order).alias("nth")).where("nth > 1")
+    scored = F.col("truth").isNotNull() & F.col("output").isNotNull() & (F.greatest(F.length("truth"), F.length("output")) <= 20000)
+    cer, similarity = M.char_error_rate(F.col("truth"), F.col("output")), M.edit_similarity(F.col("truth"), F.col("output"))
+    return pairs.select("conv_id", "turn", F.when(scored, cer).alias("cer"), F.when(scored, similarity).alias("edit_similarity"))
 
 
 def user_ranks(spark, sf_dir):
