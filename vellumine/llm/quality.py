@@ -33,6 +33,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def codes_of(langs: pa.Array) -> tuple[list[str | None], np.ndarray]:
+    """(distinct languages, null among them as itself, the place of each row's language in them)."""
+    if isinstance(langs, pa.ChunkedArray):
+        langs = langs.combine_chunks()
+    coded = langs.dictionary_encode(null_encoding="encode")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of the bytes of each text are flagged."""
     sums = np.zeros(len(flags) + 1, np.int64)
@@ -109,13 +117,13 @@ def references(docs: DataFrame, common: int, max_languages: int) -> dict[str | N
     def run(batches):
         total: dict = {}
         for batch in batches:
-            langs = np.array([chr(0) if x is None else x for x in batch.column("lang").to_pylist()], object)
+            langs, own = codes_of(batch.column("lang"))
             for i, j, body, offsets in step_texts(batch):
                 classes = class_histograms(body, offsets)
                 slots, first = word_slots(body, offsets)
-                names, code = np.unique(langs[i:j].astype(str), return_inverse=True)
-                whole = np.bincount(np.repeat(code, np.diff(first)) * SLOTS + slots, minlength=len(names) * SLOTS).reshape(-1, SLOTS)
-                for k, name in enumerate(names.tolist()):
+                present, code = np.unique(own[i:j], return_inverse=True)
+                whole = np.bincount(np.repeat(code, np.diff(first)) * SLOTS + slots, minlength=len(present) * SLOTS).reshape(-1, SLOTS)
+                for k, name in enumerate(langs[c] for c in present.tolist()):
                     got = np.concatenate((classes[code == k].sum(0), whole[k]))
                     if name not in total and len(total) >= 64:  # hand on what has been counted
                         yield from emit(total)
@@ -160,7 +168,7 @@ def quality(docs: DataFrame, common: int = 64, least_words: int = 80, least_refe
 
     def run(batches):
         for batch in batches:
-            langs = [chr(0) if x is None else x for x in batch.column("lang").to_pylist()]
+            langs, own = codes_of(batch.column("lang"))
             for i, j, body, offsets in step_texts(batch):
                 base = base_features(body, offsets)
                 n_words = base["n_words"]
@@ -168,10 +176,9 @@ def quality(docs: DataFrame, common: int = 64, least_words: int = 80, least_refe
                 classes = class_histograms(body, offsets)
                 slots, first = word_slots(body, offsets)
                 one, two = np.full(j - i, np.nan), np.full(j - i, np.nan)
-                own = np.array(langs[i:j], object)
-                for name in set(langs[i:j]):
-                    ref = refs.get(name)
-                    at = np.flatnonzero((own == name) & (n_words >= least_words))
+                for code in np.unique(own[i:j]).tolist():
+                    ref = refs.get(langs[code])
+                    at = np.flatnonzero((own[i:j] == code) & (n_words >= least_words))
                     if ref is None or ref[3] < least_reference or not len(at):
                         continue
                     place = np.full(SLOTS, len(ref[1]), np.int64)
