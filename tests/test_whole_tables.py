@@ -36,3 +36,13 @@ def test_char_error_rate_holds_the_rows_of_its_sql(spark):
     want = {tuple(r) for r in duckdb.sql(catalogue.ORACLE_SQL["char_error_rate"]).fetchall()}
     got = {(r.conv_id, r.turn, r.cer, r.edit_similarity) for r in catalogue.QUERIES["char_error_rate"](spark, sf).collect()}
     assert want < got
+
+
+def test_norm_text_of_every_document(spark, tmp_path):
+    import re
+
+    rows = [(1, "İstanbul  # A*B"), (2, None), (3, "Plain > Text"), (4, ""), (5, "DİL ~ ı I")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {d: None if t is None else " ".join(re.sub(r"[#*_`|>~-]", " ", t).lower().split()) for d, t in rows}
+    got = catalogue.QUERIES["norm_text"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
