@@ -77,3 +77,7 @@ def compare(spark, max_languages):
 
 def test_quality_of_null_languages(spark):
     compare(spark, 256)
+
+
+def test_quality_beyond_the_most_languages(spark):
+    compare(spark, 1)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, U, mix, range_hashes, ready, step_texts, words_of
+from .common import SPACE, U, materialize, mix, range_hashes, ready, step_texts, words_of
 
 CLASSES = 8  # lower, upper, digit, space, punctuation, symbol, Latin letter with mark, other
 SLOTS = 1 << 13
@@ -111,8 +111,8 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip((a + b) / 2, 0, 1)
 
 
-def references(docs: DataFrame, common: int, max_languages: int) -> dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """By language: (shares of classes, slots of common words, their shares and the rest's, words)."""
+def references(docs: DataFrame, common: int, max_languages: int) -> tuple[dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray, int]], tuple | None]:
+    """By language, and of the whole corpus: (shares of classes, slots of common words, their shares and the rest's, words)."""
 
     def run(batches):
         total: dict = {}
@@ -137,15 +137,21 @@ def references(docs: DataFrame, common: int, max_languages: int) -> dict[str | N
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(got[at].astype(np.int64))], names=["lang", "slot", "n"])
 
     counts = docs.select("lang", "text").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    words = F.sum(F.when(F.col("slot") >= CLASSES, F.col("n")).otherwise(0)).over(Window.partitionBy("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang", F.col("slot") < CLASSES).orderBy(F.desc("n"), "slot"))
-    top = counts.withColumn("words", words).withColumn("rank", rank).where(F.col("rank") <= common)
-    rows = top.orderBy(F.desc("words"), "lang", "slot").limit(max_languages * (common + CLASSES)).collect()
+    counts = materialize(counts, "quality-counts")
+    in_words = F.sum(F.when(F.col("slot") >= CLASSES, F.col("n")).otherwise(0))
+    named = counts.groupBy("lang").agg(in_words.alias("words")).orderBy(F.desc("words"), F.asc_nulls_first("lang")).limit(max_languages).select(F.col("lang").alias("own"))
+    each = counts.join(F.broadcast(named), F.col("lang").eqNullSafe(F.col("own"))).select(F.lit(False).alias("whole"), "lang", "slot", "n")
+    corpus = counts.groupBy("slot").agg(F.sum("n").alias("n")).select(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang"), "slot", "n")
+    both = each.unionByName(corpus)
+    rank = F.row_number().over(Window.partitionBy("whole", "lang", F.col("slot") < CLASSES).orderBy(F.desc("n"), "slot"))
+    both = both.withColumn("words", in_words.over(Window.partitionBy("whole", "lang"))).withColumn("rank", rank)
+    # (max_languages + 1) * (common + CLASSES) rows at most
+    rows = both.where((F.col("rank") <= common) | (F.col("slot") < CLASSES)).collect()
     by: dict = {}
     for r in rows:
-        by.setdefault(r["lang"], []).append((r["slot"], r["n"], r["words"]))
+        by.setdefault((r["whole"], r["lang"]), []).append((r["slot"], r["n"], r["words"]))
     out = {}
-    for lang, got in by.items():
+    for key, got in by.items():
         classes, slots = np.zeros(CLASSES), []
         for slot, n, _ in got:
             if slot < CLASSES:
@@ -154,15 +160,16 @@ def references(docs: DataFrame, common: int, max_languages: int) -> dict[str | N
                 slots.append((slot - CLASSES, n))
         words, slots = got[0][2], sorted(slots)
         shares = np.array([n for _, n in slots] + [words - sum(n for _, n in slots)], float)
-        out[lang] = (classes / max(classes.sum(), 1), np.array([s for s, _ in slots], np.int64), shares / max(words, 1), words)
-    return out
+        out[key] = (classes / max(classes.sum(), 1), np.array([s for s, _ in slots], np.int64), shares / max(words, 1), words)
+    whole = out.pop((True, None), None)
+    return {lang: ref for (_, lang), ref in out.items()}, whole
 
 
 def quality(docs: DataFrame, common: int = 64, least_words: int = 80, least_reference: int = 2000, max_classes: float = 0.06, max_words: float = 0.28, max_languages: int = 256) -> DataFrame:
     """One row a document: base features, both divergences (null where not compared) and the verdict."""
     ready(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    refs = references(slim, common, max_languages)
+    refs, whole = references(slim, common, max_languages)
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = "doc_id long, " + ", ".join(f"{f} long" for f in fields) + ", base_failed boolean, kept boolean, class_divergence double, word_divergence double"
 
@@ -177,7 +184,7 @@ def quality(docs: DataFrame, common: int = 64, least_words: int = 80, least_refe
                 slots, first = word_slots(body, offsets)
                 one, two = np.full(j - i, np.nan), np.full(j - i, np.nan)
                 for code in np.unique(own[i:j]).tolist():
-                    ref = refs.get(langs[code])
+                    ref = refs.get(langs[code], whole)
                     at = np.flatnonzero((own[i:j] == code) & (n_words >= least_words))
                     if ref is None or ref[3] < least_reference or not len(at):
                         continue
