@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from vellumine.llm import quality
+from vellumine.llm.queries import BYTE_TOKENS, WORD_TOKENS, vocabulary
+from vellumine.llm.tokens import Encoder
 
 
 def js(p, q):
@@ -81,3 +83,14 @@ def test_quality_of_null_languages(spark):
 
 def test_quality_beyond_the_most_languages(spark):
     compare(spark, 1)
+
+
+@pytest.mark.parametrize("name", [WORD_TOKENS, BYTE_TOKENS])
+def test_added_tokens_as_the_library_has_them(name):
+    from tokenizers import Tokenizer
+
+    g = random.Random(3)
+    parts = [" ", "\n", "a", "The", "é", ".", "  ", "\t", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "endoftext", "<"]
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "<|endoftext|><|endoftext|>"] + ["".join(g.choice(parts) for _ in range(g.randint(0, 20))) for _ in range(3000)]
+    want = [e.ids for e in Tokenizer.from_file(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in Encoder(vocabulary(name)).encode(texts)] == want

@@ -2,7 +2,8 @@
 
 A text is cut where the pre-tokenizer cuts it whatever stands around: before a single space or line
 feed that is followed by something other than white space, and after such a line feed.  Pieces are
-encoded by the library once and remembered, so the ids equal those of the whole text.  Arrow cuts the
+encoded by the library once and remembered, so the ids equal those of the whole text.  Texts that hold
+an added token of the file, such as <|endoftext|>, are encoded by the library whole.  Arrow cuts the
 texts and finds their distinct pieces; Python sees only these, and numpy puts the ids together again.
 """
 
@@ -37,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.drops_space = bool(self.tok.normalizer)
         self.wide = self.tok.get_vocab_size() > 1 << 16
@@ -107,7 +108,9 @@ class Encoder:
             return found
         own = forms = [pieces[k] for k in new]
         if self.drops_space:
-            forms = [p.lower() if p.isascii() else p for p in forms]
+            # what only lowering makes an added token is none
+            lower = [p.lower() if p.isascii() else p for p in forms]
+            forms = [p if any(x in q for x in self.added) else q for p, q in zip(forms, lower, strict=True)]
         ends = [p[-1:] if p[-1:] in STOPS and p[-2:-1].isalpha() and p[-2] < "\u0130" else "" for p in forms]
         forms = [p[:-1] if e else p for p, e in zip(forms, ends, strict=True)]
         self.learn([f for f in dict.fromkeys([*forms, ".", ","]) if f not in known])
@@ -116,6 +119,20 @@ class Encoder:
         return found
 
     def encode_step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        held = np.zeros(n, bool)
+        for content in self.added:
+            held |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not held.any():
+            return self.encode_cut(texts)
+        ids, at = self.encode_cut(pc.if_else(pa.array(held), "", texts))
+        parts = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for k in np.flatnonzero(held).tolist():
+            parts[k] = np.array(self.tok.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
+
+    def encode_cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts without added tokens."""
         n = len(texts)
         odd = np.zeros(n, bool) if self.drops_space else pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~odd))
