@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vellumine.llm import quality
+from vellumine.llm import quality, toxicity
 from vellumine.llm.queries import BYTE_TOKENS, WORD_TOKENS, vocabulary
 from vellumine.llm.tokens import Encoder
 
@@ -94,3 +94,11 @@ def test_added_tokens_as_the_library_has_them(name):
     texts = ["a <|endoftext|> b", "<|startoftext|>", "<|endoftext|><|endoftext|>"] + ["".join(g.choice(parts) for _ in range(g.randint(0, 20))) for _ in range(3000)]
     want = [e.ids for e in Tokenizer.from_file(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in Encoder(vocabulary(name)).encode(texts)] == want
+
+
+def test_toxicity_learns_from_whole_texts(monkeypatch):
+    seen, backward = set(), toxicity.backward
+    monkeypatch.setattr(toxicity, "backward", lambda net, docs, y: seen.update((len(d), int(v)) for d, v in zip(docs, y)) or backward(net, docs, y))
+    texts = [" ".join("w%d" % (k * i % 97) for i in range(1300 + k)).encode() for k in range(20)]
+    toxicity.train(texts, np.arange(20) % 2, epochs=1)
+    assert seen == {(1300 + k, k % 2) for k in range(20) if k % 5 != 4}

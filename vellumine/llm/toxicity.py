@@ -157,13 +157,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
         g.shuffle(fit)
         for lo in range(0, len(fit), batch):
             some, t = fit[lo : lo + batch], t + 1
-            # of long texts a window at random: the pooled maximum needs one place only
-            picked = []
-            for d in some:
-                x = docs[d]
-                s = int(g.integers(0, max(1, len(x) - 1200 + 1)))
-                picked.append(x if labels[d] else x[s : s + 1200])
-            grads = backward(net, picked, labels[some])
+            grads = backward(net, [docs[d] for d in some], labels[some])
             for k, (p, (rows, d)) in enumerate(zip(names, grads, strict=True)):
                 if rows is None:
                     m1[k] = 0.9 * m1[k] + 0.1 * d
@@ -205,7 +199,7 @@ def backward(net: Network, docs: list[np.ndarray], y: np.ndarray):
     sizes = np.array([len(d) for d in docs])
     first = np.r_[0, np.cumsum(sizes)]
     slots = np.concatenate(docs)
-    x = net.emb[slots].sum(1)
+    x = sum(net.emb[part] for part in slots.T)
     n = len(docs)
     pooled = np.zeros((n, FILTERS * len(WIDTHS)), np.float32)
     argmax = np.full((n, FILTERS * len(WIDTHS)), -1, np.int64)
