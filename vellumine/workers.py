@@ -1,17 +1,36 @@
-"""Python workers import this package by reference, so they must find it where the driver did."""
+"""Python workers import this package by reference, so they must find it wherever they run."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+_sent: set[str] = set()
 
-def reachable(df: DataFrame) -> DataFrame:
-    """Put this package's folder on the path of workers that start from now on."""
-    root, env = str(Path(__file__).resolve().parents[1]), df.sparkSession.sparkContext.environment
+
+def ship(spark: SparkSession) -> None:
+    """Workers of local mode get this package's folder on their path; those of a cluster, once an
+    application, the package itself as an archive that Spark hands to every executor."""
+    sc = spark.sparkContext
+    env, root = sc.environment, str(PACKAGE.parent)
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = root + (os.pathsep + have if have else "")
+    if sc.master == "local" or sc.master.startswith("local[") or sc.applicationId in _sent:
+        return
+    _sent.add(sc.applicationId)
+    archive = Path(tempfile.mkdtemp()) / "vellumine.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(PACKAGE.rglob("*.py")):
+            z.write(p, p.relative_to(PACKAGE.parent))
+    sc.addPyFile(str(archive))
+
+
+def reachable(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
     return df
