@@ -1,13 +1,13 @@
 """Shared plumbing: the shared folder, lineage cuts, and vectorised views of Arrow text columns.
 
 Conventions used by every operator here.  A null text is an empty text.  Only the columns an
-operator names are read, so extra or clashing columns are ignored.  Words are runs of bytes other
+operator names are read, so extra or clashing columns are ignored; operators that return the documents
+themselves carry each input row as one struct, so that no name of theirs can meet one of the input's.  Words are runs of bytes other
 than 0x20 and 0x09-0x0D, which is the same on UTF-8 bytes and on code points.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: Bytes of text that a vectorised step looks at together; single longer texts are taken alone.
 STEP_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -26,29 +28,56 @@ U = np.uint64
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package even where only the driver's path has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = root + (os.pathsep + have if have else "")
+    """Let Python workers import this package wherever they run."""
+    ship(spark)
+
+
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only if unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local one
+    is made in local mode only: elsewhere no such folder would be shared."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = Path(tempfile.mkdtemp(prefix="vellumine-shared-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", at)
+        _own[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write a table into the shared folder and read it back with the same schema."""
-    spark = df.sparkSession
+def _of(spark: SparkSession, path: str):
+    """(file system, path) in the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A folder of its own in the shared one; whatever it holds goes when the application ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, where = _of(spark, path)
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    store, where = _of(spark, path)
+    store.delete(where, True)
+
+
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Cut lineage: write a table into the shared folder and read it back with the same schema; and its path."""
+    spark = df.sparkSession
+    path = new_folder(spark, tag)
+    df.write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    return stored(df, tag)[0]
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -169,10 +198,6 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix(got ^ ((ends - starts).astype(U) * U(0xE7037ED1A0B428DB)))
 
 
-def mix_one(x: int) -> int:
-    return int(mix(np.array([x & (2**64 - 1)], U))[0])
-
-
 def counts_to_rows(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U, column_bytes, column_ids, id_text, ready, shared_dir, shuffle_parts
+from .common import U, column_bytes, column_ids, id_text, new_folder, ready, shuffle_parts
 from .tokens import encoder
 
 IDS = "doc_id long, shard int, n_ids long, ids binary"
@@ -243,7 +243,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None = 2, folde
     """Encode and write; (folder, manifest rows, one a shard). Shard bounds are quantiles of doc_id."""
     spark = docs.sparkSession
     ready(spark)
-    folder = folder or f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "records")
     n_shards = n_shards or shuffle_parts(spark)
     cuts = [k / n_shards for k in range(1, n_shards)]
     bounds = id_text(docs).select("doc_id").approxQuantile("doc_id", cuts, 0.1 / n_shards) if cuts else []

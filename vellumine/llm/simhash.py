@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, counts_to_rows, id_text, materialize, ready, runs, shuffle_parts, step_texts, words_of
+from .common import U, counts_to_rows, discard, id_text, materialize, ready, runs, shuffle_parts, step_texts, stored, words_of
 
 BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))  # (shift, bits)
 LEVELS = (16, 32, 48, 64)  # leading bits that a node's leaves share
@@ -236,7 +236,7 @@ def local_forests(dealt: DataFrame, limit: int, parts: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge (a, b): alternating large-star and small-star steps."""
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges, path = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
@@ -245,7 +245,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "edges")
+        old = path
+        edges, path = stored(small.where("a <> b").distinct(), "edges")
+        discard(edges.sparkSession, old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if before == now:
             return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")

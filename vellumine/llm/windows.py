@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, column_bytes, column_ids, id_text, materialize, mix, pack, range_hashes, ready, runs, shared_dir, shuffle_parts, steps, unpack, words_of
+from .common import U, column_bytes, column_ids, id_text, materialize, mix, new_folder, pack, range_hashes, ready, runs, shuffle_parts, steps, unpack, words_of
 from .suffix import WaveletIndex, joined, permuted_lcp, suffix_array
 
 GROUP_BYTES = 6 << 20
@@ -97,7 +97,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """(gid, path, at, size, head): groups of about GROUP_BYTES of text, compressed, in files of the
     shared folder, one a task. Only this list of them, with ids and sizes, is ever shuffled. An attempt
     writes a file of its own; the list is written out, so it names the files of one attempt for good."""
-    folder = f"{shared_dir(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
+    folder = new_folder(docs.sparkSession, "texts")
 
     def run(batches):
         import zstandard
