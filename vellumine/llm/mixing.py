@@ -8,8 +8,10 @@ Targets: sources share `share` times all tokens by weight; a source stops at `ca
 and the excess is shared by weight among the rest until none is above.  That is water filling: with
 sources by tokens / weight ascending, the first ones stop and the others get the same level times weight.
 
-Null source: a source of its own, last in order.  Null text: size 0.  Null doc_id: drawn as an empty id.
+Null source: a source of its own, last in order.  Null text: size 0.  Null doc_id: drawn by the text.
 Repeated rows are drawn alike.  A source without words has target 0 and rate 0.  Empty table: empty result.
+Empty texts have size 0 and may be taken; very long ones are counted whole by one expression in the JVM.
+Columns of the input named size, target, copies or the like stay what they are.
 """
 
 from __future__ import annotations
@@ -17,65 +19,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialize, shuffle_parts, word_count
 
 SEED = "mix-42"
 
 
+def before_each(rows: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """Adds, for each name of `sums`, the sum of its column over all rows that come before in `order`.
+
+    The rows are dealt out by ranges of the order and written, each range is summed, and a row adds what
+    its own range and the ranges before hold: no task sees more than a range of rows, or one row a range.
+    """
+    parts = shuffle_parts(rows.sparkSession)
+    dealt = materialize(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    per = dealt.groupBy("range").agg(*[F.sum(c).alias(f"{n}_of") for n, c in sums.items()])
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    bases = per.select("range", *[F.coalesce(F.sum(f"{n}_of").over(earlier), F.lit(0)).alias(f"{n}_base") for n in sums])
+    own = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    got = dealt.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"{n}_own") for n, c in sums.items()]).join(F.broadcast(bases), "range")
+    return got.select(*rows.columns, *[(F.col(f"{n}_base") + F.col(f"{n}_own")).alias(n) for n in sums])
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size, target): one row a source. Ranks run over sources, never over documents."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")
-    per = per.withColumn("weight", weight)
-    order = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    full = F.col("source_size") * F.lit(float(cap))
-    level = (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum(full).over(upto), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
-    )
-    # the level that holds is that of the first source that doesn't stop
-    per = per.withColumn("level", level).withColumn("stops", F.col("level") * F.col("weight") > full)
-    held = F.min(F.when(~F.col("stops"), F.struct(F.col("source_size") / F.col("weight"), F.col("level")))).over(Window.partitionBy()).getField("level")
-    per = per.withColumn("held", held)
-    target = F.when(F.col("held").isNull(), full).otherwise(F.least(full, F.col("held") * F.col("weight")))
-    return per.select("source", "source_size", target.alias("target"))
-
-
-def draw(doc_id) -> F.col:
-    """A number in [0, 1) from the document's id."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + SEED)))
+    """(source, source_size, target): one row a source, as a written table, however many sources there are."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    per = before_each(per, [F.col("source").asc_nulls_last()], {"rank": "one"})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
+    per = per.select("source", "source_size", weight.alias("weight")).withColumn("full", F.col("source_size") * F.lit(float(cap)))
+    per = materialize(before_each(per, [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"full_before": "full", "weight_before": "weight"}), "sources")
+    whole = per.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()  # two numbers
+    level = (F.lit(float(whole["size"] or 0) * share) - F.col("full_before")) / (F.lit(whole["weight"] or 0.0) - F.col("weight_before"))
+    per = per.withColumn("level", level)
+    # the level that holds is that of the first source that doesn't stop: from there on levels only fall
+    goes_on = ~(F.col("level") * F.col("weight") > F.col("full"))
+    held = per.agg(F.max(F.when(goes_on, F.col("level"))).alias("held")).first()["held"]
+    target = F.col("full") if held is None else F.least(F.col("full"), F.lit(held) * F.col("weight"))
+    return materialize(per.select("source", "source_size", target.alias("target")), "targets")
+
+
+def draw(doc_id, text) -> F.col:
+    """A number in [0, 1) from the document's id; from its text if it has none."""
+    own = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    digest = F.md5(F.concat(own, F.lit(":" + SEED)))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def repeats(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The documents' columns with size, source_size, target and `copies`."""
-    names = {"size", "source_size", "target", "copies", "mix_source"}
-    clash = [c for c in docs.columns if c in names]
-    sized = docs.drop(*clash).withColumn("size", word_count(F.col("text").cast("string")))
-    targets = source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "mix_source")
+def repeats(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, carry: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, copies); with `carry` also `row`, the input's columns as a struct.
+
+    The targets are a written table, so Spark knows its size: it is broadcast only below
+    spark.sql.autoBroadcastJoinThreshold, and joined by source, hot sources split, above it."""
+    text = F.col("text").cast("string")
+    more = [F.struct("*").alias("row")] if carry else []
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), draw(F.col("doc_id"), text).alias("drawn"), *more)
+    slim = docs.select(F.col("source").cast("string").alias("source"), word_count(text).alias("size"))
+    targets = source_targets(slim, weights, share, cap).withColumnRenamed("source", "mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (draw(F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    return joined.withColumn("copies", F.floor(rate) + extra)
+    extra = (F.col("drawn") < rate - F.floor(rate)).cast("long")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.floor(rate) + extra).alias("copies"), *(["row"] if carry else []))
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of the input."""
-    taken = repeats(docs, **how)
-    kept = [c for c in docs.columns if c in taken.columns]
-    some = taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return some.select(*kept)
+    """The mix itself: every document as often as it is taken, with the columns of the input and no others,
+    whatever they are called. Copies follow their document; a document that isn't taken is left out."""
+    taken = repeats(docs, carry=True, **how).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select("row.*")
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    slim = docs.select("doc_id", "text", "source")
-    return repeats(slim, **how).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return repeats(docs, **how).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 MIX_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -88,13 +106,13 @@ WITH sized AS (
   FROM ranked
   WINDOW w AS (ORDER BY source_size / weight ASC, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), held AS (
-  SELECT min_by(level, source_size / weight) FILTER (WHERE NOT level * weight > source_size * 2.0::DOUBLE) AS held FROM lev
+  SELECT max(level) FILTER (WHERE NOT level * weight > source_size * 2.0::DOUBLE) AS held FROM lev
 ), target AS (
   SELECT source, source_size, CASE WHEN held IS NULL THEN source_size * 2.0::DOUBLE ELSE least(source_size * 2.0::DOUBLE, held * weight) END AS target FROM lev, held
 ), rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-    CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':mix-42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
+    CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), d.digest) || ':mix-42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
   FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
