@@ -12,7 +12,8 @@ stay; a further token becomes a span of kind `token` only if it is live and no b
 Repositories are (source, lang) and owners are sources by default.
 
 Null text: no spans.  Null source or lang: an owner or repository of its own.  Null doc_id: kept.
-Repeated rows: each returned (and counted once, as one owner).  Empty table: empty result.
+Repeated rows: each returned (and counted once, as one owner).  Empty table: empty result.  Empty texts
+have no spans; very long ones are scanned whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize, range_hashes, ready, step_texts
 
@@ -63,17 +65,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def spans_text(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-
-
 def token_spans(text: str, base, least: int) -> list[tuple[int, int]]:
     """Further tokens that no base span touches."""
-    out = []
+    covered: list[list[int]] = []  # base spans by start, joined where they meet
+    for a, _, b in base:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    out, k = [], 0
     for m in re.finditer(rf"[A-Za-z0-9+/_-]{{{least},}}", text):
-        t = m[0]
-        if re.search("[A-Z]", t) and re.search("[a-z]", t) and re.search("[0-9]", t) and not any(a < m.end() and m.start() < b for a, _, b in base):
-            out.append(m.span())
+        t, (a, b) = m[0], m.span()
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        free = k == len(covered) or covered[k][0] >= b
+        if free and re.search("[A-Z]", t) and re.search("[a-z]", t) and re.search("[0-9]", t):
+            out.append((a, b))
     return out
 
 
@@ -82,12 +89,18 @@ def value_hash(value: str) -> int:
     return int(range_hashes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
 
 
-def scan(docs: DataFrame, least: int, owner: str, repository: tuple[str, ...]) -> DataFrame:
-    """SCAN rows: base results, and all candidates by kind, place and hash."""
+def scan(docs: DataFrame, least: int, owner: str, repository: tuple[str, ...], carry: bool = False) -> DataFrame:
+    """SCAN rows: base results, and all candidates by kind, place and hash; with `carry` also `doc`, the
+    input's row as a struct."""
+    schema = StructType.fromDDL(SCAN)
+    if carry:
+        schema = schema.add("doc", docs.schema)
+    columns = schema.names
     repo = F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in repository])
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.coalesce(F.col(owner).cast("string"), F.lit("\x02")).alias("owner"), repo.alias("repository"),
+        *([F.struct("*").alias("doc")] if carry else []),
     )
     none = hashlib.sha256(b"").hexdigest()
 
@@ -118,9 +131,10 @@ def scan(docs: DataFrame, least: int, owner: str, repository: tuple[str, ...]) -
                 cols = list(zip(*rows, strict=True))
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("hash", pa.int64())]))
                 own = [batch.column(c).slice(i, j - i) for c in ("row", "doc_id", "owner", "repository")]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], kind)], names=[c.split()[0] for c in SCAN.split(", ")])
+                rest = [batch.column("doc").slice(i, j - i)] if carry else []
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], kind), *rest], names=columns)
 
-    return slim.mapInArrow(run, SCAN)
+    return slim.mapInArrow(run, schema)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -130,14 +144,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"), F.sum("n").alias("n_rows"))
 
 
-def secrets(docs: DataFrame, least: int = 24, owners: int = 1, repositories: int = 2, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """SCAN columns with `live`, an array of (first, kind, last) of the live candidates."""
+def secrets(docs: DataFrame, least: int = 24, owners: int = 1, repositories: int = 2, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), carry: bool = False) -> DataFrame:
+    """SCAN columns with `live`, an array of (first, kind, last) of the live candidates. Rows without any
+    candidate need no join, and are not shuffled."""
     ready(docs.sparkSession)
-    rows = materialize(scan(docs, least, owner, repository), "secrets")
+    rows = materialize(scan(docs, least, owner, repository, carry), "secrets")
+    some, none = rows.where(F.size("found") > 0), rows.where(F.size("found") == 0)
     found = rows.select("row", "owner", "repository", F.explode("found").alias("c")).select("row", "owner", "repository", "c.*")
     rare = ownership(found).where((F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories)).select("hash")
     live = found.join(rare, "hash", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "kind", "last"))).alias("live"))
-    return rows.join(live, "row", "left")
+    return some.join(live, "row", "left").unionByName(none, allowMissingColumns=True)
 
 
 def with_spans(got: DataFrame) -> DataFrame:
@@ -157,14 +173,26 @@ def secrets_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", **how) -> DataFrame:
-    """The documents with every span replaced by a mark; n_chars follows where there is one."""
-    columns = docs.columns
-    # rows are known by a number of their own: read, scanned and joined from one written table
-    kept = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    spans = with_spans(secrets(kept.withColumn("doc_id", F.col("__row")), **how)).where(F.size("kept") > 0).select(F.col("doc_id").alias("__row"), "kept")
-    joined = kept.join(spans, "__row", "left")
-    piece = "aggregate(kept, named_struct('out', '', 'at', 0), (s, c) -> IF(c.first < s.at, named_struct('out', s.out, 'at', greatest(s.at, c.last)), named_struct('out', concat(s.out, substring(text, s.at + 1, c.first - s.at), '{m}'), 'at', c.last)), s -> concat(s.out, substring(text, s.at + 1)))".format(m=mark)
-    joined = joined.withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.expr(piece)))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*columns)
+    """The documents with every span replaced by a mark; n_chars follows where there is one.
+
+    Every row stays, repeated ones and those of null text or id included, with the input's columns whatever
+    they are called: rows are carried as structs through the scan, which is written once."""
+    got = with_spans(secrets(docs, carry=True, **how)).select("doc", "kept")
+    text = F.col("doc.text").cast("string")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(state, span):
+        between = F.substring(text, state["at"] + 1, span["first"] - state["at"])
+        on = F.struct(F.concat(state["out"], between, F.lit(mark)).alias("out"), span["last"].alias("at"))
+        return F.when(span["first"] < state["at"], F.struct(state["out"].alias("out"), F.greatest(state["at"], span["last"]).alias("at"))).otherwise(on)
+
+    new = F.when(F.size("kept") == 0, text).otherwise(F.aggregate("kept", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+    columns = []
+    for f in docs.schema:
+        own = F.col("doc").getField(f.name)
+        if f.name == "text":
+            own = F.col("new").cast(f.dataType)
+        elif f.name == "n_chars":
+            own = F.when(F.size("kept") == 0, own).otherwise(F.length("new").cast(f.dataType))
+        columns.append(own.alias(f.name))
+    return got.withColumn("new", new).select(*columns)
