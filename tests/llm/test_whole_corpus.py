@@ -15,7 +15,7 @@ def js(p, q):
     p, q = np.array(p, float) / max(sum(p), 1), np.array(q, float) / max(sum(q), 1)
     m = (p + q) / 2
     part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
-    return (part(p) + part(q)) / 2
+    return max(0, (part(p) + part(q)) / 2) ** 0.5
 
 
 def features(text):
@@ -24,8 +24,8 @@ def features(text):
     return quality.class_histograms(body, offsets)[0], Counter(quality.word_slots(body, offsets)[0].tolist())
 
 
-def divergences(rows, common, least_words, least_reference, max_languages):
-    """By doc_id: both divergences from the language's own counts, or the corpus's beyond max_languages."""
+def distances(rows, common, least_words, least_reference, max_languages):
+    """By doc_id: both distances from the language's own counts, or the corpus's beyond max_languages."""
     counted = {d: features(t) for d, t, _ in rows}
 
     def reference(ids):
@@ -65,16 +65,16 @@ def compare(spark, max_languages):
     rows = make_languages()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     got = quality.quality(docs, common=8, least_words=80, least_reference=500, max_languages=max_languages).collect()
-    want = divergences(rows, 8, 80, 500, max_languages)
+    want = distances(rows, 8, 80, 500, max_languages)
     assert len(got) == len(rows)
     for r in got:
         if want[r.doc_id] is None:
-            assert r.class_divergence is None and r.word_divergence is None and r.kept == (not r.base_failed)
+            assert r.class_distance is None and r.word_distance is None and r.kept == (not r.base_failed)
         else:
-            assert (r.class_divergence, r.word_divergence) == pytest.approx(want[r.doc_id], abs=1e-9)
-            assert r.kept == (not r.base_failed and r.class_divergence <= 0.06 and r.word_divergence <= 0.28)
+            assert (r.class_distance, r.word_distance) == pytest.approx(want[r.doc_id], abs=1e-9)
+            assert r.kept == (not r.base_failed and r.class_distance <= 0.06**0.5 and r.word_distance <= 0.28**0.5)
     lang = {d: x for d, _, x in rows}
-    assert {lang[r.doc_id] for r in got if r.class_divergence is not None} == {None, "en", "", "de"}
+    assert {lang[r.doc_id] for r in got if r.class_distance is not None} == {None, "en", "", "de"}
 
 
 def test_quality_of_null_languages(spark):

@@ -4,12 +4,13 @@ Base features (whole texts): word_chars (code points in words), n_symbols (of #*
 (lines with a word, equal to an earlier line), n_repeat_words (words in 3-word windows found twice or
 more in the text).  Method: two histograms of a document, of character classes and of the language's
 most common words (hashed, the rest in one bin), are compared with the language's own by Jensen-Shannon
-divergence in bits.  The references are counted over all documents.  Documents with fewer than
+distance (the root of the divergence in bits).  The references are counted over all documents.  Documents with fewer than
 `least_words` words are not compared, nor is a language with fewer than `least_reference` words.
 
 Null text: no words, so the base fails.  Null lang: a language of its own.  Languages beyond the
 `max_languages` with most words are compared with the whole corpus (the table of references is the only
-thing that reaches the driver).  Repeated rows: each returned.  Empty table: empty result.
+thing that reaches the driver).  Repeated rows: each returned.  Empty table: empty result.  Empty texts
+have no words and fail; very long ones are counted whole by one task, in memory of some 60 times their bytes.
 """
 
 from __future__ import annotations
@@ -101,14 +102,14 @@ def word_slots(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return (range_hashes(LOWER[body], starts, ends) % U(SLOTS)).astype(np.int64), first
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of rows of counts p and rows of shares q."""
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance (root of the divergence in bits) of rows of counts p and rows of shares q."""
     p = p / np.maximum(p.sum(1, keepdims=True), 1)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         a = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
         b = np.where(q > 0, q * np.log2(q / m), 0).sum(1)
-    return np.clip((a + b) / 2, 0, 1)
+    return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
 def references(docs: DataFrame, common: int, max_languages: int) -> tuple[dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray, int]], tuple | None]:
@@ -165,13 +166,13 @@ def references(docs: DataFrame, common: int, max_languages: int) -> tuple[dict[s
     return {lang: ref for (_, lang), ref in out.items()}, whole
 
 
-def quality(docs: DataFrame, common: int = 64, least_words: int = 80, least_reference: int = 2000, max_classes: float = 0.06, max_words: float = 0.28, max_languages: int = 256) -> DataFrame:
-    """One row a document: base features, both divergences (null where not compared) and the verdict."""
+def quality(docs: DataFrame, common: int = 64, least_words: int = 80, least_reference: int = 2000, max_classes: float = 0.06**0.5, max_words: float = 0.28**0.5, max_languages: int = 256) -> DataFrame:
+    """One row a document: base features, both distances (null where not compared) and the verdict."""
     ready(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     refs, whole = references(slim, common, max_languages)
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = "doc_id long, " + ", ".join(f"{f} long" for f in fields) + ", base_failed boolean, kept boolean, class_divergence double, word_divergence double"
+    schema = "doc_id long, " + ", ".join(f"{f} long" for f in fields) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
 
     def run(batches):
         for batch in batches:
@@ -194,9 +195,9 @@ def quality(docs: DataFrame, common: int = 64, least_words: int = 80, least_refe
                     rows = np.repeat(np.arange(len(at)), n_words[at])
                     mine = np.concatenate([slots[first[d] : first[d + 1]] for d in at])
                     hist = np.bincount(rows * wide + place[mine], minlength=len(at) * wide).reshape(-1, wide)
-                    one[at], two[at] = divergence(classes[at], ref[0][None]), divergence(hist, ref[2][None])
+                    one[at], two[at] = distance(classes[at], ref[0][None]), distance(hist, ref[2][None])
                 far = (one > max_classes) | (two > max_words)  # not compared: nan, never far
                 cols = [batch.column("doc_id").slice(i, j - i), *[pa.array(base[f].astype(np.int64)) for f in fields], pa.array(failed), pa.array(~failed & ~far), pa.array(one, mask=np.isnan(one)), pa.array(two, mask=np.isnan(two))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *fields, "base_failed", "kept", "class_divergence", "word_divergence"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *fields, "base_failed", "kept", "class_distance", "word_distance"])
 
     return slim.mapInArrow(run, schema)
