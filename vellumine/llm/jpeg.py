@@ -13,7 +13,7 @@ has a category of its own bits only, so nothing is lost.  Blocks beyond the payl
 holds the payload's length.
 
 Null text: an empty payload, 576 bytes 255.  Null doc_id: kept.  Repeated rows: equal values.  Empty
-table: empty result.
+table: empty result.  A very long text is one file, made by one task in some 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, ready, step_texts
+from .common import STEP_BYTES, id_text, new_folder, ready, step_texts
 
 UNIT = 576
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
@@ -460,24 +461,67 @@ def padded(text: np.ndarray) -> np.ndarray:
     return out
 
 
+class Shard:
+    """Byte strings put one after another into a file of the shared folder, closed, and read back."""
+
+    def __init__(self, folder: str, name: str):
+        from pyarrow import fs
+
+        self.store, root = fs.FileSystem.from_uri(folder)
+        self.path = f"{root}/{name}"
+
+    def keep(self, items: list[bytes]) -> list[bytes]:
+        sizes = np.cumsum([0, *map(len, items)]).tolist()
+        with self.store.open_output_stream(self.path, compression=None) as f:
+            for x in items:
+                f.write(x)
+        with self.store.open_input_file(self.path) as f:
+            return [f.read_at(b - a, a) for a, b in zip(sizes[:-1], sizes[1:])]
+
+    def drop(self) -> None:
+        self.store.delete_file(self.path)
+
+
+def stored_media(body: np.ndarray, offsets: np.ndarray, folder: str, kept: bool):
+    """For each text of a step: (file, image, tensor), the file decoded from the bytes that were stored, and
+    the tensor as it was stored. The step's two shards go afterwards unless they are kept."""
+    name = uuid.uuid4().hex
+    files, tensors = Shard(folder, f"{name}.jpegs"), Shard(folder, f"{name}.rgb")
+    ends = offsets.tolist()
+    back = files.keep([encode_payload(padded(body[a:b])) for a, b in zip(ends[:-1], ends[1:])])
+    images = [decode(x) for x in back]
+    pixels = tensors.keep([rgb(x).tobytes() for x in images])
+    if not kept:
+        files.drop()
+        tensors.drop()
+    return [(x, i, np.frombuffer(p, np.uint8).reshape(i.height, i.width, 3)) for x, i, p in zip(back, images, pixels)]
+
+
 def media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media, height, width, rgb): the stored file and its full-resolution tensor."""
+    """(doc_id, media, height, width, rgb): the stored file and its full-resolution tensor; a batch holds
+    what about a tenth of a megabyte of text makes, or one text."""
     ready(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for i, j, body, offsets in step_texts(batch):
-                for d in range(j - i):
-                    file = encode_payload(padded(body[offsets[d] : offsets[d + 1]]))
-                    image = decode(file)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i + d, 1), pa.array([file], pa.binary()), pa.array([image.height], pa.int32()), pa.array([image.width], pa.int32()), pa.array([rgb(image).tobytes()], pa.binary())], names=["doc_id", "media", "height", "width", "rgb"])
+            for i, j, body, offsets in step_texts(batch, limit=STEP_BYTES // 10):
+                files = [encode_payload(padded(body[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                images = [decode(x) for x in files]
+                cols = [pa.array(files, pa.binary()), pa.array([x.height for x in images], pa.int32()), pa.array([x.width for x in images], pa.int32()), pa.array([rgb(x).tobytes() for x in images], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *cols], names=["doc_id", "media", "height", "width", "rgb"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, media binary, height int, width int, rgb binary")
 
 
-def media_report(docs: DataFrame) -> DataFrame:
-    """Digests of what media() stores, computed where it is stored: no pixel leaves the task."""
-    ready(docs.sparkSession)
+def media_report(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Digests of media that are stored and read back: files and tensors are written into shards of the
+    shared folder, closed, opened again, and all columns but n_bytes are computed from what is read.
+    With a `folder` the shards stay there; else each goes when its digests are known, since files and
+    tensors together take several times the disk of the texts."""
+    spark = docs.sparkSession
+    ready(spark)
+    kept = folder is not None
+    folder = folder or new_folder(spark, "media")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -486,11 +530,9 @@ def media_report(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i, j, body, offsets in step_texts(batch):
                 rows = []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    file = encode_payload(padded(body[a:b]))
-                    image = decode(file)
+                for n, (file, image, tensor) in zip(np.diff(offsets).tolist(), stored_media(body, offsets, folder, kept)):
                     back = payload_of(image).tobytes()
-                    rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), features(rgb(image))))
+                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), features(tensor)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=names)
 
     return id_text(docs).mapInArrow(run, schema)
