@@ -1,7 +1,7 @@
 """A training corpus from `documents`: five stages, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet into
-the shared folder and reads it back as the next stage's documents.
+the shared folder and reads it back as the next stage's documents.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -15,31 +15,42 @@ from vellumine.llm.queries import BYTE_TOKENS, labels, vocabulary
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored as empty, very long ones
+    whole; repeated rows go or stay together; every column stays as it is."""
     return toxicity.drop_toxic(docs, labels(spark, sf_dir))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays; of repeated
-    rows of that doc_id, one. Documents without a doc_id are kept."""
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each group of linked fingerprints one row stays: the one with the smallest doc_id (null last), of
+    equal ids the one whose text has the smallest hash, of equal texts any one. Rows are told apart by a
+    number of their own, so repeated and null ids lose no text. Null and empty texts form one group."""
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")), "numbered")
+    text = F.col("row.text").cast("string")
+    slim = numbered.select(F.col("n").alias("doc_id"), text.alias("text"))
+    place = F.struct(F.col("id").isNull(), "id", "hash", "n")
+    found = simhash.near_duplicates(slim).select(F.col("doc_id").alias("n"), "component_id")
+    many = materialize(found.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").select("component_id"), "groups")
+    ids = numbered.select("n", F.col("row.doc_id").alias("id"), F.xxhash64(text).alias("hash"))
+    grouped = materialize(found.join(many, "component_id").join(ids, "n").select("n", "component_id", place.alias("place")), "grouped")
+    first = grouped.groupBy("component_id").agg(F.min("place").getField("n").alias("n"))
+    # what goes is a written table: Spark broadcasts it only where it is small
+    gone = materialize(grouped.select("n").join(first.select("n"), "n", "left_anti"), "gone")
+    return numbered.join(gone, "n", "left_anti").select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, null, empty and repeated ones as well."""
     return secrets.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Null sources are one source; null ids are drawn by text."""
     return mixing.mixture(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of at most 2048 tokens."""
+    """Token pieces with their place in sequences of at most 2048 tokens. Null and empty texts are one end
+    token; longer texts are cut; copies are pieces of their own."""
     return packing.pack_documents(docs, vocabulary(BYTE_TOKENS), end_id=0)
 
 
