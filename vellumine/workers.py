@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Rows of documents sent to a worker together: some ten megabytes of text.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 4096
 _sent: set[str] = set()
 
 
@@ -17,6 +19,9 @@ def ship(spark: SparkSession) -> None:
     """Workers of local mode get this package's folder on their path; those of a cluster, once an
     application, the package itself as an archive that Spark hands to every executor."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == "10000":  # Spark's default; any other value is the user's own
+        spark.conf.set(BATCH, str(ROWS))
+    sc.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # gives memory back
     env, root = sc.environment, str(PACKAGE.parent)
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
