@@ -4,8 +4,8 @@ Words (A-Z lower-cased, cut at punctuation) and their prefixes of 4, 5 and 6 byt
 embeddings, whose sum is the word's: invented or inflected forms share a stem.  Words of few training
 documents share one embedding, since they could only be learned by heart.  Filters of widths 1, 2 and 3
 run over them, each is max-pooled over the whole text, and a logistic layer gives a logit.  The gradient of everything is written out below (Adam, mini-batches).  Thresholds are calibrated
-by language: languages are told apart from the text itself (shares of marked letters and of common short
-words, hashed, against centroids of the training sample found by k-means), and within each the logit
+by language: languages are told apart from the text itself (shares of marked and of plain
+letters, against centroids of the training sample found by k-means), and within each the logit
 that separates best on the calibration part is moved to a score of 0.7.  No column but the text is used.
 
 Training: at most `sample` labelled rows whose crc32(doc_id as text) mod 3 is not 1, the ones with the
@@ -18,6 +18,8 @@ returned.  Empty table: empty result.  Texts are scored whole, by blocks of word
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ def word_slots(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """(slots of each word and of its prefixes, first word of each text). Slot 0: no such prefix."""
     body = np.where(PUNCTUATION[body], np.uint8(32), LOWER[body])
     starts, ends, first = words_of(body, offsets)
-    out = np.zeros((len(starts), 1 + len(PREFIXES)), np.int32)
+    out = np.zeros((len(starts), 1 + len(PREFIXES)), np.uint16)  # SLOTS fit
     out[:, 0] = range_hashes(body, starts, ends) % U(SLOTS - 1) + U(1)
     for k, size in enumerate(PREFIXES):
         long = np.flatnonzero(ends - starts > size)
@@ -143,11 +145,14 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
     offsets = np.cumsum([0, *map(len, texts)])
     for i, j in steps(offsets):
         slots, first = word_slots(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        docs += [slots[first[k] : first[k + 1]] for k in range(j - i)]
+        docs += [slots[first[k] : first[k + 1]] for k in range(j - i)]  # views of one array a step
     # words of few documents can only be learned by heart: all of them are one word
-    seen = np.bincount(np.concatenate([np.unique(d) for d in docs] + [np.zeros(0, np.int64)]), minlength=SLOTS)
+    seen = np.zeros(SLOTS, np.int64)
+    for d in docs:
+        seen[np.unique(d)] += 1
     rare = seen < max(4, len(docs) // 1000)
-    docs = [np.where(rare[d], 0, d) for d in docs]
+    for d in docs:
+        d[rare[d]] = 0
     held = np.arange(len(docs)) % 5 == 4
     fit, calibrate = np.flatnonzero(~held), np.flatnonzero(held)
     names = [net.emb, *net.w, *net.b, net.out, net.bias]
@@ -262,10 +267,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     wanted = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))
     texts = id_text(docs).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
     whole = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    rows = whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").orderBy(F.xxhash64(F.lit("order"), F.col("doc_id")), "doc_id")
-    got = rows.toArrow()
-    body, offsets = column_bytes(got.column("text"))
-    return train([body[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], np.array(got.column("toxic").to_pylist()))
+    rows = whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+
+    def run(batches):  # in one executor task, over `sample` rows at most: no text reaches the driver
+        texts, marks = [], []
+        for batch in batches:
+            body, offsets = column_bytes(batch.column("text"))
+            texts += [body[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            marks += batch.column("toxic").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(marks)))], pa.binary())], names=["network"])
+
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("order"), F.col("doc_id")), "doc_id")
+    got = one.mapInArrow(run, "network binary").first()
+    return pickle.loads(got["network"]) if got is not None else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
