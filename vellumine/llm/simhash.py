@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructType
 
-from .common import U, counts_to_rows, discard, id_text, materialize, ready, runs, shuffle_parts, step_texts, stored, words_of
+from .common import U, counts_to_rows, discard, materialize, ready, runs, shuffle_parts, step_texts, stored, words_of
 
 BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))  # (shift, bits)
 LEVELS = (16, 32, 48, 64)  # leading bits that a node's leaves share
@@ -65,8 +66,8 @@ def step_fingerprints(body: np.ndarray, offsets: np.ndarray, width: int = 4, see
     return out
 
 
-def fingerprints(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp): one row a document."""
+def fingerprints(docs: DataFrame, kind: DataType | None = None) -> DataFrame:
+    """(doc_id, fp): one row a document. doc_id is a long, or of another `kind` that can be ordered."""
 
     def run(batches):
         for batch in batches:
@@ -74,7 +75,8 @@ def fingerprints(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                 fp = pa.array(step_fingerprints(body, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), fp], names=["doc_id", "fp"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id") if kind else F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, StructType().add("doc_id", kind or LongType()).add("fp", LongType()))
 
 
 # --------------------------------------------------------------------------- the index
@@ -254,11 +256,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, limit: int = 4, hot: int = 20_000) -> DataFrame:
-    """(doc_id, fp, component_id)."""
+def near_duplicates(docs: DataFrame, limit: int = 4, hot: int = 20_000, kind: DataType | None = None) -> DataFrame:
+    """(doc_id, fp, component_id); `kind`: of doc_id, if it is no long (a struct, say, that says which row is least)."""
     spark = docs.sparkSession
     ready(spark)
-    sigs = materialize(fingerprints(docs), "fingerprints")
+    sigs = materialize(fingerprints(docs, kind), "fingerprints")
     classes = materialize(sigs.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     dealt = classes.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
     parts = shuffle_parts(spark)

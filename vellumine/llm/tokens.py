@@ -110,7 +110,10 @@ class Encoder:
         if self.drops_space:
             # what only lowering makes an added token is none
             lower = [p.lower() if p.isascii() else p for p in forms]
-            forms = [p if any(x in q for x in self.added) else q for p, q in zip(forms, lower, strict=True)]
+            every = "\n".join(lower)
+            if any(x in every for x in self.added):
+                lower = [p if any(x in q for x in self.added) else q for p, q in zip(forms, lower, strict=True)]
+            forms = lower
         ends = [p[-1:] if p[-1:] in STOPS and p[-2:-1].isalpha() and p[-2] < "\u0130" else "" for p in forms]
         forms = [p[:-1] if e else p for p, e in zip(forms, ends, strict=True)]
         self.learn([f for f in dict.fromkeys([*forms, ".", ","]) if f not in known])
