@@ -25,16 +25,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     equal ids the one whose text has the smallest hash, of equal texts any one. Rows are told apart by a
     number of their own, so repeated and null ids lose no text. Null and empty texts form one group."""
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")), "numbered")
-    text = F.col("row.text").cast("string")
-    slim = numbered.select(F.col("n").alias("doc_id"), text.alias("text"))
-    place = F.struct(F.col("id").isNull(), "id", "hash", "n")
-    found = simhash.near_duplicates(slim).select(F.col("doc_id").alias("n"), "component_id")
-    many = materialize(found.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").select("component_id"), "groups")
-    ids = numbered.select("n", F.col("row.doc_id").alias("id"), F.xxhash64(text).alias("hash"))
-    grouped = materialize(found.join(many, "component_id").join(ids, "n").select("n", "component_id", place.alias("place")), "grouped")
-    first = grouped.groupBy("component_id").agg(F.min("place").getField("n").alias("n"))
+    text, own = F.col("row.text").cast("string"), F.col("row.doc_id")
+    place = F.struct(own.isNull().alias("last"), own.alias("id"), F.xxhash64(text).alias("hash"), "n")
+    slim = numbered.select(place.alias("doc_id"), text.alias("text"))
+    found = simhash.near_duplicates(slim, kind=slim.schema["doc_id"].dataType)
     # what goes is a written table: Spark broadcasts it only where it is small
-    gone = materialize(grouped.select("n").join(first.select("n"), "n", "left_anti"), "gone")
+    gone = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.n"), "gone")
     return numbered.join(gone, "n", "left_anti").select("row.*")
 
 
