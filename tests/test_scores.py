@@ -72,3 +72,37 @@ def test_mean_average_precision(spark):
     found = spark.createDataFrame([(1, "a", box, 1, 0.9), (3, "a", box, 2, 0.8), (2, "a", box, 3, 0.7)], schema + ", det_id int, score double")
     got = {r.label: r.ap for r in L.mean_average_precision(truth, found, "doc", "label", (0.5,)).collect()}
     assert got == {"a": pytest.approx((1 + 2 / 3) / 2), "b": 0.0}
+
+
+def forests(a, b, struct_only):
+    """Edit distance of two forests of (label, children), straight from its recursion."""
+    from functools import lru_cache
+
+    size = lambda f: sum(1 + size(c) for _, c in f)
+
+    def swap(u, v):
+        if isinstance(u, str) or isinstance(v, str):
+            return 0 if u == v else 1
+        return 1 if u[:3] != v[:3] else 0 if struct_only else 1 - C.similarity(u[3], v[3])
+
+    @lru_cache(None)
+    def far(f, g):
+        if not f or not g:
+            return size(f or g)
+        (u, x), (v, y) = f[-1], g[-1]
+        return min(far(f[:-1] + x, g) + 1, far(f, g[:-1] + y) + 1, far(f[:-1], g[:-1]) + far(x, y) + swap(u, v))
+
+    return far(a, b)
+
+
+def test_tree_distance_against_its_recursion():
+    import random
+
+    g = random.Random(9)
+    tree = lambda t: (("table", tuple(("row", tuple((c, ()) for c in r)) for r in t)),)
+    for k in range(60):
+        make = lambda: [[(g.choice(["td", "th"]), 1, g.choice([1, 1, 2]), g.choice(["", "a", "ab", "xyz"])) for _ in range(g.randrange(4))] for _ in range(g.randrange(4))]
+        a, b = make(), make()
+        assert abs(C.tree_distance(a, b, k % 2 == 0) - forests(tree(a), tree(b), k % 2 == 0)) < 1e-9
+    cells = [("td", 1, 1, str(k)) for k in range(10)]
+    assert C.tree_distance([cells[:5], cells[5:]], [cells], False) == 3

@@ -81,3 +81,15 @@ def from_corners(values: Column) -> Column:
     xs, ys = F.filter(v, lambda _, i: i % 2 == 0), F.filter(v, lambda _, i: i % 2 == 1)
     x, y = F.array_min(xs), F.array_min(ys)
     return box(x, y, F.array_max(xs) - x, F.array_max(ys) - y)
+
+
+def pixels_to_page(b: Column, left: Column, top: Column, scale: Column) -> Column:
+    """A box in a rendered crop (pixels, y down) in page space (y up): the crop's left and top there, and
+    pixels a unit."""
+    height = b["height"] / scale
+    return box(left + b["x"] / scale, top - b["y"] / scale - height, b["width"] / scale, height)
+
+
+def unletterbox(b: Column, pad_x: Column, pad_y: Column, scale: Column) -> Column:
+    """A box of a padded, scaled model input in its source image."""
+    return box((b["x"] - pad_x) / scale, (b["y"] - pad_y) / scale, b["width"] / scale, b["height"] / scale)

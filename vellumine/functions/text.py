@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it (without U+001C-1F), spelled for Java's and RE2's syntax alike.
 WS = r"\t-\r \x{85}\p{Z}"
+# The tags that part blocks.
 BLOCK_TAGS = (
-    "address article article-title aside abstract back blockquote body br caption div footer front h1 h2 h3 h4 h5 h6 header item li list main mixed-citation p ref sec section table-wrap tr"
-).split()
+    "address", "article", "article-title", "aside", "abstract", "back", "blockquote", "body", "br", "caption", "div", "footer", "front", "h1", "h2", "h3", "h4", "h5", "h6", "header", "item", "li",
+    "list", "main", "mixed-citation", "p", "ref", "sec", "section", "table-wrap", "tr",
+)
 HIDDEN_TAGS = ("script", "style", "title", "head")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -41,11 +43,25 @@ def block_tags() -> str:
     return "(?i)< ?/* ?(" + "|".join(sorted(BLOCK_TAGS, key=len, reverse=True)) + ")(/| [^>]*)?>"
 
 
-def decode_entities(text: Column, numeric: bool = False) -> Column:
-    """Six named entities, ampersand last; numeric ones (decimal below 128) on request."""
-    if numeric:
-        for code in range(33, 127):
-            text = F.regexp_replace(text, f"&#0*{code};|&#[xX]0*{code:x};", chr(code).replace("\\", "\\\\").replace("$", "\\$"))
+def decode_numeric(text: Column) -> Column:
+    """Numeric entities, decimal and hexadecimal; an ampersand comes out as its name, to be decoded last."""
+
+    def piece(p: Column) -> Column:
+        hexa, dec = F.regexp_extract(p, "^[xX]([0-9a-fA-F]{1,8});", 1), F.regexp_extract(p, "^([0-9]{1,10});", 1)
+        code = F.when(hexa != "", F.conv(hexa, 16, 10).cast("long")).when(dec != "", dec.cast("long"))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.substr(p, F.locate(";", p) + 1, F.length(p))
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(code == 38, F.concat(F.lit("&amp;"), rest)).when(known, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), p))
+
+    parts = F.split(text, "&#")
+    decoded = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return F.when(F.contains(text, F.lit("&#")), F.concat(parts[0], F.array_join(decoded, ""))).otherwise(text)
+
+
+def decode_entities(text: Column) -> Column:
+    """All numeric entities and six named ones, each once: the ampersand comes last."""
+    text = decode_numeric(text)
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
@@ -81,15 +97,24 @@ def sanitize_markdown(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip_controls(text), r"[\t \p{Zs}]+", " "), "(?m)^ | $", "")
 
 
+# LaTeX specials, and what stands for characters that are not ASCII.
 _LATEX = (("\\", "\\textbackslash{}"), ("&", "\\&"), ("%", "\\%"), ("$", "\\$"), ("#", "\\#"), ("_", "\\_"), ("~", "\\textasciitilde{}"), ("^", "\\textasciicircum{}"))
+_PLAIN = (
+    ("\u00a0", " "), ("\u2013", "-"), ("\u2212", "-"), ("\u2014", "---"), ("\u2018", "'"), ("\u2019", "'"), ("\u201a", "'"), ("\u201c", '"'), ("\u201d", '"'), ("\u201e", '"'),
+    ("\u2022", "*"), ("\u2026", "..."), ("\u00d7", "x"), ("\u00f7", "/"), ("\u2264", "<="), ("\u2265", ">="), ("\u2260", "!="), ("\u00b1", "+/-"),
+)
 
 
 def escape_latex(text: Column) -> Column:
-    """Specials escaped (braces first, so that those of the commands stay), other non-ASCII as '?'."""
+    """Specials escaped (braces first, so that those of the commands stay); control characters that are
+    white space become a space, others vanish; what is not ASCII becomes its plain form or '?'."""
+    text = F.regexp_replace(F.regexp_replace(text, r"[\t\x{0B}\f\r\x{85}]", " "), r"[\x00-\x08\x0E-\x1F\x7F-\x{84}\x{86}-\x{9F}]", "")
     text = F.replace(F.replace(text, F.lit("{"), F.lit("\x01")), F.lit("}"), F.lit("\x02"))
     for char, out in _LATEX:
         text = F.replace(text, F.lit(char), F.lit(out))
     text = F.replace(F.replace(text, F.lit("\x01"), F.lit("\\{")), F.lit("\x02"), F.lit("\\}"))
+    for char, out in _PLAIN:
+        text = F.replace(text, F.lit(char), F.lit(out))
     return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
 
 

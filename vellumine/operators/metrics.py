@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
-
-
-def token_counts(rows: DataFrame, key: list[str], words: Column) -> DataFrame:
-    return rows.select(*key, F.explode(words).alias("token")).groupBy(*key, "token").agg(F.count("*").alias("n"))
+from ..workers import reachable
 
 
 def token_overlap(pairs: DataFrame, key: str, truth: str, output: str, words=T.tokens) -> DataFrame:
-    """(key, n_truth, n_output, n_both): multiset sizes and their intersection, as one grouped sum."""
-    truths = pairs.select(key, F.explode(words(F.col(truth))).alias("token"), F.lit(1).alias("t"), F.lit(0).alias("o"))
-    outputs = pairs.select(key, F.explode(words(F.col(output))).alias("token"), F.lit(0).alias("t"), F.lit(1).alias("o"))
-    per = truths.unionByName(outputs).groupBy(key, "token").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    got = per.groupBy(key).agg(F.sum("t").alias("n_truth"), F.sum("o").alias("n_output"), F.sum(F.least("t", "o")).alias("n_both"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return pairs.select(key).join(got, key, "left").select(key, zero("n_truth"), zero("n_output"), zero("n_both"))
+    """(key, n_truth, n_output, n_both): multiset sizes and their intersection. Both texts of a pair are in
+    one row, so nothing is shuffled: tokens are made in the JVM and counted a batch of rows at a time."""
+
+    def counted(tokens: pa.Array, codes: np.ndarray, wide: int):
+        row = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+        return np.unique(row * wide + codes, return_counts=True)
+
+    def run(batches):
+        for batch in batches:
+            t, o = batch.column("t"), batch.column("o")
+            coded = pa.concat_arrays([t.flatten(), o.flatten()]).dictionary_encode()
+            codes, wide = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary) + 1
+            n = len(t.flatten())
+            (a, x), (b, y) = counted(t, codes[:n], wide), counted(o, codes[n:], wide)
+            both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            shared = np.bincount(both // wide, np.minimum(x[i], y[j]), minlength=batch.num_rows).astype(np.int64)
+            sizes = [pc.list_value_length(v).cast(pa.int64()) for v in (t, o)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *sizes, pa.array(shared)], names=[key, "n_truth", "n_output", "n_both"])
+
+    none = F.array().cast("array<string>")
+    slim = pairs.select(key, F.coalesce(words(F.col(truth)), none).alias("t"), F.coalesce(words(F.col(output)), none).alias("o"))
+    schema = StructType([slim.schema[key], *[StructField(c, LongType()) for c in ("n_truth", "n_output", "n_both")]])
+    return reachable(slim).mapInArrow(run, schema)
 
 
 def coverage_scores(overlap: DataFrame, key: str) -> DataFrame:
@@ -45,15 +62,32 @@ def order_distance(ranks: DataFrame, key: str) -> DataFrame:
     return ranks.groupBy(key).agg(F.count("*").alias("n"), (F.sum(F.abs(F.col("p") - F.col("g"))) / F.count("*") / F.count("*")).alias("ard"))
 
 
-def kendall(ranks: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, concordant, discordant, tau) over pairs of items of one key, without ties counted."""
-    a = ranks.select(key, F.col(item).alias("i1"), F.col("p").alias("p1"), F.col("g").alias("g1"))
-    b = ranks.select(key, F.col(item).alias("i2"), F.col("p").alias("p2"), F.col("g").alias("g2"))
-    sign = F.signum((F.col("p1") - F.col("p2")).cast("double")) * F.signum((F.col("g1") - F.col("g2")).cast("double"))
-    pairs = a.join(b, key).where("i1 < i2").select(key, sign.alias("s"))
-    got = pairs.groupBy(key).agg(F.count_if(F.col("s") > 0).alias("concordant"), F.count_if(F.col("s") < 0).alias("discordant"))
-    n = F.col("concordant") + F.col("discordant")
-    return got.withColumn("tau", F.when(n > 0, (F.col("concordant") - F.col("discordant")) / n).otherwise(F.lit(0.0)))
+def kendall(ranks: DataFrame, key: str) -> DataFrame:
+    """(key, concordant, discordant, tau, normalized): tau-b of ranks p and g (whole numbers from 0), by key;
+    a key with one item has tau 0.
+
+    Discordant pairs are inversions, counted bit by bit: two ranks differ first at one bit, so in the order
+    of g each 0 counts the 1s before it among ranks of the same leading bits. That is n log n, without
+    pairs and within the JVM. Ties of g come with p rising, so that they count nowhere.
+    """
+    whole = Window.partitionBy(key)
+    rows = ranks.select(key, F.col("p").cast("long").alias("p"), F.col("g").cast("long").alias("g")).withColumn("top", F.max("p").over(whole))
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("top"), F.lit(1)))).cast("int"))
+    bits = rows.select(key, "p", "g", F.explode(levels).alias("level"))
+    lead = F.expr("shiftright(p, level + 1)")
+    bits = bits.select(key, "g", "p", "level", lead.alias("lead"), F.expr("shiftright(p, level) & 1").alias("bit"))
+    before = Window.partitionBy(key, "level", "lead").orderBy("g", "p").rowsBetween(Window.unboundedPreceding, -1)
+    inversions = bits.withColumn("ones", F.sum("bit").over(before)).where("bit = 0").groupBy(key).agg(F.sum("ones").alias("discordant"))
+    pairs = lambda c: F.sum(F.expr(f"{c} * ({c} - 1) div 2"))
+    tied = lambda *c: ranks.groupBy(key, *c).agg(F.count("*").alias("c")).groupBy(key)
+    got = ranks.groupBy(key).agg(F.count("*").alias("n")).withColumn("n0", F.expr("n * (n - 1) div 2"))
+    for name, cols in (("n1", ["p"]), ("n2", ["g"]), ("n3", ["p", "g"])):
+        got = got.join(tied(*cols).agg(pairs("c").alias(name)), key)
+    got = got.join(inversions, key, "left").withColumn("discordant", F.coalesce("discordant", F.lit(0)))
+    got = got.withColumn("concordant", F.expr("n0 - n1 - n2 + n3 - discordant"))
+    under = F.sqrt(((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2"))).cast("double"))
+    got = got.withColumn("tau", F.when(under > 0, (F.col("concordant") - F.col("discordant")) / F.greatest(under, F.lit(1.0))).otherwise(F.lit(0.0)))
+    return got.select(key, "concordant", "discordant", "tau", ((F.col("tau") + 1) / 2).alias("normalized"))
 
 
 def precision_recall(scored: DataFrame, group: str, score: str, hit: str, ident: str) -> DataFrame:
@@ -66,9 +100,3 @@ def precision_recall(scored: DataFrame, group: str, score: str, hit: str, ident:
     rows = rows.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.greatest("positives", F.lit(1))).otherwise(F.lit(0.0)))
     onward = order.rowsBetween(0, Window.unboundedFollowing)
     return rows.withColumn("envelope", F.max("precision").over(onward))
-
-
-def average_precision(scored: DataFrame, group: str, score: str, hit: str, ident: str) -> DataFrame:
-    """All-points average precision: every hit adds its envelope over the number of hits."""
-    curve = precision_recall(scored, group, score, hit, ident)
-    return curve.groupBy(group).agg(F.count("*").alias("n"), F.max("positives").alias("positives"), (F.sum(F.when(F.col(hit) == 1, F.col("envelope")).otherwise(0.0)) / F.greatest(F.max("positives"), F.lit(1))).alias("ap"))

@@ -86,31 +86,55 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if not most else 1 - distance(list(a), list(b)) / most
 
 
-def tree_distance(a: list, b: list, struct_only: bool) -> float:
-    """Ordered tree edit distance of two tables. Their trees have three levels (table, rows, cells), so
-    that rows are aligned by a sequence distance whose costs are sequence distances of cells; a cell or row
-    goes or comes at one a node. A mapping keeps ancestors, so a cell only ever maps within mapped rows,
-    or to one of a row that stands for it; the latter never pays off with unit costs."""
+def postorder(table: list) -> tuple[list, list[int]]:
+    """(labels, first leaf below each) of a table's tree in postorder: cells, their rows, the table."""
+    labels, leaf = [], []
+    for row in table:
+        first = len(labels)
+        for c in row:
+            leaf.append(len(labels))
+            labels.append(c)
+        leaf.append(first)
+        labels.append("row")
+    leaf.append(0)
+    labels.append("table")
+    return labels, leaf
 
-    def cell(x, y):
-        if x[:3] != y[:3]:
-            return 1.0
-        return 0.0 if struct_only else 1 - similarity(x[3], y[3])
 
-    def align(xs, ys, cost, drop, add):
-        d = np.zeros((len(xs) + 1, len(ys) + 1))
-        for i, x in enumerate(xs, 1):
-            d[i, 0] = d[i - 1, 0] + drop(x)
-        for j, y in enumerate(ys, 1):
-            d[0, j] = d[0, j - 1] + add(y)
-        for i, x in enumerate(xs, 1):
-            for j, y in enumerate(ys, 1):
-                d[i, j] = min(d[i - 1, j] + drop(x), d[i, j - 1] + add(y), d[i - 1, j - 1] + cost(x, y))
-        return float(d[-1, -1])
-
-    one = lambda _: 1.0
-    row = lambda x, y: align(x, y, cell, one, one)
-    return align(a, b, row, lambda x: 1.0 + len(x), lambda y: 1.0 + len(y))
+def tree_distance(a: list, b: list, struct_only: bool) -> float:
+    """Ordered tree edit distance of two tables, by the general algorithm over key roots: any node may go,
+    and its children move up. A node costs one, cells of equal tag and spans what their texts differ."""
+    (x, lx), (y, ly) = postorder(a), postorder(b)
+
+    def swap(u, v):
+        if isinstance(u, str) or isinstance(v, str):
+            return 0.0 if u == v else 1.0
+        if u[:3] != v[:3]:
+            return 1.0
+        return 0.0 if struct_only else 1 - similarity(u[3], v[3])
+
+    cost = np.array([[swap(u, v) for v in y] for u in x])
+    whole = np.zeros((len(x), len(y)))  # between subtrees
+    roots = lambda leaf: sorted({f: k for k, f in enumerate(leaf)}.values())
+    for i in roots(lx):
+        for j in roots(ly):
+            p, q = lx[i], ly[j]
+            d = [[float(n) for n in range(j - q + 2)]]
+            for u in range(p, i + 1):
+                last, row = d[-1], [d[-1][0] + 1]
+                over = d[lx[u] - p]
+                for v in range(q, j + 1):
+                    k = v - q
+                    if lx[u] == p and ly[v] == q:
+                        best = last[k] + cost[u, v]
+                    else:
+                        best = over[ly[v] - q] + whole[u, v]
+                    best = min(best, last[k + 1] + 1, row[k] + 1)
+                    row.append(best)
+                    if lx[u] == p and ly[v] == q:
+                        whole[u, v] = best
+                d.append(row)
+    return float(whole[-1, -1])
 
 
 def teds(truth: str, output: str, struct_only: bool = False) -> float:

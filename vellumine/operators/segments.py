@@ -17,11 +17,14 @@ def paragraph_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return blocks.select(key, F.col("block_index").cast("long").alias("block_index"), F.lit("paragraph").alias("kind"), "text")
 
 
-def document_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+def paragraph_counts(docs: DataFrame, keep: list[str], parts: Column) -> DataFrame:
     """Counts of the paragraphs joined by an empty line; a document without any has zeros."""
-    parts = T.paragraphs(F.col(text))
     joined = F.array_join(parts, "\n\n")
-    return docs.select(key, F.length(joined).cast("long").alias("character_count"), T.word_count(joined).alias("word_count"), F.size(parts).cast("long").alias("block_count"))
+    return docs.select(*keep, parts.alias("parts"), F.length(joined).cast("long").alias("character_count"), T.word_count(joined).alias("word_count"), F.size(parts).cast("long").alias("block_count"))
+
+
+def document_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return paragraph_counts(docs, [key], T.paragraphs(F.col(text))).drop("parts")
 
 
 def drop_repeated_margins(blocks: DataFrame, document: str, page: str, text: str, is_margin: Column) -> DataFrame:
@@ -42,14 +45,16 @@ def route(chars: Column, image_ratio: Column, health: Column) -> Column:
     return F.when((base == "born_digital") & (chars >= 50) & (health < 0.5), "scanned").otherwise(base)
 
 
-def assign_spans(spans: DataFrame, regions: DataFrame, page: list[str], radius: float, cell: float = 64.0) -> DataFrame:
+def assign_spans(spans: DataFrame, regions: DataFrame, page: list[str], radius: float, cell: float | None = None) -> DataFrame:
     """(spans' columns, region_id): the best containing region (class, then smaller area, then id), else
     the nearest within `radius`, else null. No span is lost.
 
     Regions are spread over the grid cells that they, widened by the radius, touch; a span asks only its
-    own cell. So the join is an equi-join on (page, cell), whatever a page holds.
+    own cell. So the join is an equi-join on (page, cell), whatever a page holds; cells are as small as the
+    reach of the radius, so that a crowded page has few regions in each.
     spans: page..., span_id, bbox; regions: page..., region_id, class, bbox.
     """
+    cell = cell or max(2 * radius, 16.0)
     cx, cy = G.center(F.col("bbox"))
     at = spans.withColumn("cx", cx).withColumn("cy", cy).withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
     r = F.col("rbox")
@@ -70,6 +75,18 @@ def assign_spans(spans: DataFrame, regions: DataFrame, page: list[str], radius:
     return best.select(*keys, F.col("best.d").alias("region_id"))
 
 
+def best_overlaps(boxes: DataFrame, page: list[str], ident: str, cell: float = 32.0) -> DataFrame:
+    """(page..., ident, best_iou): of each box with any other of its page. Boxes are spread over the grid
+    cells they touch and meet in a cell; a box that meets none has 0. boxes: page..., ident, bbox."""
+    b = F.col("bbox")
+    over = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    spread = boxes.select(*page, ident, "bbox").withColumn("gx", over(b["x"], G.right(b))).withColumn("gy", over(b["y"], G.bottom(b)))
+    other = spread.select(*page, "gx", "gy", F.col(ident).alias("other"), F.col("bbox").alias("obox"))
+    meets = F.when(F.col("other") != F.col(ident), G.iou(b, F.col("obox")))
+    best = spread.join(other, [*page, "gx", "gy"]).groupBy(*page, ident).agg(F.max(meets).alias("best_iou"))
+    return best.select(*page, ident, F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"))
+
+
 def gap_islands(rows: DataFrame, group: list[str], value: str, gap: float) -> DataFrame:
     """Island number of each value: a new one begins where the step from the value before exceeds gap."""
     order = Window.partitionBy(*group).orderBy(value)
@@ -83,6 +100,15 @@ def balanced_sample(rows: DataFrame, group: str, order: str, limit: int) -> Data
     return rows.withColumn("turn", turn).where(F.col("turn") <= limit).orderBy("turn", group).limit(limit)
 
 
+def densest(pages: DataFrame, document: str, page: str, k: int) -> DataFrame:
+    """The k pages of the highest score of each document (document, page, score, place); pages without any
+    score only where a document has no other."""
+    most = F.max("score").over(Window.partitionBy(document))
+    place = F.row_number().over(Window.partitionBy(document).orderBy(F.desc("score"), page))
+    some = pages.withColumn("most", most).where("score > 0 or most = 0")
+    return some.withColumn("place", place).where(F.col("place") <= k).drop("most")
+
+
 def run_diff(baseline: DataFrame, candidate: DataFrame, epsilon: float = 0.005) -> DataFrame:
     """Two runs (id, metric, score) compared: shared, only_in_baseline, only_in_candidate; and verdicts."""
     b = baseline.select("id", "metric", F.col("score").alias("before"))

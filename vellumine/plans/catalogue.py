@@ -46,6 +46,9 @@ def sql_html(x: str) -> str:
     x = f"regexp_replace({x}, '{T.unclosed_ranges()}', '', 'g')"
     x = f"regexp_replace({x}, '[{WS}]+', ' ', 'g')"
     x = f"regexp_replace(regexp_replace({x}, '{T.block_tags()}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    code = "CASE WHEN regexp_matches(p, '^[xX][0-9a-fA-F]{1,8};') THEN CAST('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{1,8});', 1) AS BIGINT) WHEN regexp_matches(p, '^[0-9]{1,10};') THEN CAST(regexp_extract(p, '^([0-9]{1,10});', 1) AS BIGINT) END"
+    rest = "substr(p, strpos(p, ';') + 1)"
+    x = f"array_to_string(list_transform(str_split({x}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p WHEN ({code}) = 38 THEN '&amp;' || {rest} WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INT)) || {rest} ELSE '&#' || p END), '')"
     for name, char in T.ENTITIES:
         x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return sql_tidy(x)
@@ -95,15 +98,14 @@ def paragraph_blocks(spark, sf_dir):
 
 
 @query(
-    f"WITH b AS (SELECT page_id, {sql_paragraphs(sql_html('html'))} AS p FROM pages), m AS (SELECT page_id, p, array_to_string(list_transform(p, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g'), '[\\t \\p{{Zs}}]+', ' ', 'g'), '(?m)^ | $', '', 'g')), chr(10) || chr(10)) AS markdown, array_to_string(p, chr(10) || chr(10)) AS j FROM b WHERE len(p) > 0) "
+    f"WITH b AS (SELECT page_id, {sql_paragraphs(sql_html('html'))} AS p FROM pages), m AS (SELECT page_id, p, coalesce(array_to_string(list_transform(p, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g'), '[\\t \\p{{Zs}}]+', ' ', 'g'), '(?m)^ | $', '', 'g')), chr(10) || chr(10)), '') AS markdown, coalesce(array_to_string(p, chr(10) || chr(10)), '') AS j FROM b) "
     f"SELECT page_id, markdown, CAST(length(j) AS BIGINT) AS character_count, CAST(len(regexp_extract_all(j, '[^{WS}]+')) AS BIGINT) AS word_count, CAST(len(p) AS BIGINT) AS block_count FROM m"
 )
 def pages_to_markdown(spark, sf_dir):
-    """Scan, text, paragraphs, counts and rendering: the whole way of a page."""
-    text = html_text(spark, sf_dir)
-    blocks = S.paragraph_blocks(text, "page_id", "text")
-    shown = R.to_markdown(blocks, ["page_id"], ["block_index"])
-    return shown.join(S.document_counts(text, "page_id", "text"), "page_id")
+    """Scan, text, paragraphs, counts and rendering: the whole way of a page, in one projection a page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", T.paragraphs(T.html_to_text(F.col("html"))).alias("parts"))
+    counted = S.paragraph_counts(pages, ["page_id"], F.col("parts"))
+    return counted.select("page_id", R.paragraphs_to_markdown(F.col("parts")).alias("markdown"), "character_count", "word_count", "block_count")
 
 
 @query(f"SELECT doc_id, {sql_collapse('text')} AS text FROM documents")
@@ -117,10 +119,14 @@ def sanitize_markdown(spark, sf_dir):
 
 
 def sql_latex(x: str) -> str:
+    x = f"regexp_replace(regexp_replace({x}, '[\\t\\x{{0B}}\\f\\r\\x{{85}}]', ' ', 'g'), '[\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{{84}}\\x{{86}}-\\x{{9F}}]', '', 'g')"
     x = f"replace(replace({x}, '{{', chr(1)), '}}', chr(2))"
     for char, out in T._LATEX:
         x = f"replace({x}, '{char}', '{out}')"
-    return f"regexp_replace(replace(replace({x}, chr(1), '\\{{'), chr(2), '\\}}'), '[^\\x00-\\x7F]', '?', 'g')"
+    x = f"replace(replace({x}, chr(1), '\\{{'), chr(2), '\\}}')"
+    for char, out in T._PLAIN:
+        x = f"replace({x}, '{char}', '{out.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace({x}, '[^\\x00-\\x7F]', '?', 'g')"
 
 
 @query(f"SELECT doc_id, {sql_latex('text')} AS latex FROM documents")
@@ -193,9 +199,9 @@ def detect_formats(spark, sf_dir):
     return got.withColumn("status", support_status(F.col("format")))
 
 
-@query(f"SELECT doc_id, {sql_collapse('lower(regexp_replace(text, ' + chr(39) + '[#*_`|>~-]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))')} AS text FROM documents WHERE NOT regexp_matches(text, '[İ]')")
+@query(f"SELECT doc_id, {sql_collapse('lower(replace(regexp_replace(text, ' + chr(39) + '[#*_`|>~-]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), chr(304), chr(105) || chr(775)))')} AS text FROM documents")
 def norm_text(spark, sf_dir):
-    """Of every document. The SQL leaves out null texts and those with U+0130, which DuckDB lowers otherwise."""
+    """Of every document, null texts included. The SQL lowers U+0130 to two characters, as Unicode has it."""
     return table(spark, sf_dir, "documents").select("doc_id", T.norm_text(F.col("text")).alias("text"))
 
 
@@ -209,12 +215,13 @@ def letter_spaced(spark, sf_dir):
 
 def document_pairs(spark, sf_dir):
     """Each document with one benchmark passage as its ground truth."""
-    docs = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40)
     bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
+    items = bench.agg(F.max("item_id") + 1).first()[0]
+    docs = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % items)
     return docs.join(bench, "item_id").select("doc_id", "truth", F.col("text").alias("output"))
 
 
-PAIRS_SQL = "p AS (SELECT d.doc_id, b.text AS truth, d.text AS output FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+PAIRS_SQL = "p AS (SELECT d.doc_id, b.text AS truth, d.text AS output FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))"
 
 
 def sql_overlap(tokens) -> str:
@@ -244,13 +251,10 @@ def token_jaccard(spark, sf_dir):
     return pairs.select("doc_id", A.jaccard(T.tokens(F.col("truth")), T.tokens(F.col("output"))).alias("jaccard"))
 
 
-ADJACENT_SQL = "SELECT conv_id, turn, truth, output FROM (SELECT conv_id, turn, text AS output, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS truth FROM conversations) WHERE truth IS NOT NULL AND length(truth) <= 2000 AND length(output) <= 2000 AND regexp_full_match(truth || output, '[\\x00-\\x7F]*')"
-
-
-@query(f"SELECT conv_id, turn, CASE WHEN length(truth) = 0 THEN CASE WHEN output = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE levenshtein(truth, output)::DOUBLE / length(truth) END AS cer, CASE WHEN greatest(length(truth), length(output)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(truth, output)::DOUBLE / greatest(length(truth), length(output)) END AS edit_similarity FROM ({ADJACENT_SQL})")
+@query()
 def char_error_rate(spark, sf_dir):
-    """Of every two adjacent turns; null for a null text and above the reference's cap of 20,000 characters.
-    The SQL covers plain ASCII pairs of at most 2,000 characters only: DuckDB's levenshtein counts bytes."""
+    """Of every two adjacent turns; null for a null text and above 20,000 characters. No SQL: DuckDB's
+    levenshtein counts bytes. Tests compare with brute force."""
     turns = table(spark, sf_dir, "conversations")
     order = Window.partitionBy("conv_id").orderBy("turn")
     pairs = turns.select("conv_id", "turn", F.col("text").alias("output"), F.lag("text").over(order).alias("truth"), F.row_number().over(order).alias("nth")).where("nth > 1")
@@ -274,9 +278,16 @@ def reading_order_ard(spark, sf_dir):
     return M.order_distance(user_ranks(spark, sf_dir), "user_id")
 
 
-@query(f"WITH {RANKS_SQL}, s AS (SELECT a.user_id, sign((a.p - b.p)) * sign((a.g - b.g)) AS s FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_id < b.event_id), g AS (SELECT user_id, count(*) FILTER (WHERE s > 0) AS concordant, count(*) FILTER (WHERE s < 0) AS discordant FROM s GROUP BY user_id) SELECT user_id, concordant, discordant, CASE WHEN concordant + discordant > 0 THEN (concordant - discordant)::DOUBLE / (concordant + discordant) ELSE 0.0::DOUBLE END AS tau FROM g")
+TIED_SQL = "r AS (SELECT user_id, event_id, rank() OVER (PARTITION BY user_id ORDER BY round(value, 1)) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS g FROM events)"
+
+
+@query(f"WITH {TIED_SQL}, s AS (SELECT a.user_id, sign((a.p - b.p)) * sign((a.g - b.g)) AS s, CASE WHEN a.p = b.p THEN 1 ELSE 0 END AS tp, CASE WHEN a.g = b.g THEN 1 ELSE 0 END AS tg FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_id < b.event_id), g AS (SELECT user_id, count(*) FILTER (WHERE s > 0) AS concordant, count(*) FILTER (WHERE s < 0) AS discordant, sum(1 - tp) AS dp, sum(1 - tg) AS dg FROM s GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM r) SELECT u.user_id, coalesce(concordant, 0) AS concordant, coalesce(discordant, 0) AS discordant, CASE WHEN dp * dg > 0 THEN round((concordant - discordant)::DOUBLE / sqrt((dp * dg)::DOUBLE), 12) ELSE 0.0::DOUBLE END AS tau FROM u LEFT JOIN g USING (user_id)")
 def kendall_tau(spark, sf_dir):
-    return M.kendall(user_ranks(spark, sf_dir), "user_id", "event_id")
+    """Events ranked by rounded value, with ties, against their order in time; a lone event has 0."""
+    e = table(spark, sf_dir, "events")
+    by = lambda *c: Window.partitionBy("user_id").orderBy(*c)
+    ranks = e.select("user_id", F.rank().over(by(F.round("value", 1))).alias("p"), (F.row_number().over(by("ts", "event_id")) - 1).alias("g"))
+    return M.kendall(ranks, "user_id").withColumn("tau", F.round("tau", 12)).drop("normalized")
 
 
 @query(
@@ -339,13 +350,11 @@ def part_boxes(spark, sf_dir):
 
 
 @query(
-    f"WITH b AS (SELECT p_partkey, {PART_BOX} FROM part), j AS (SELECT a.p_partkey, greatest(least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x), 0.0::DOUBLE) * greatest(least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y), 0.0::DOUBLE) AS i, a.w * a.h + c.w * c.h AS s FROM b a JOIN b c ON a.page = c.page AND a.p_partkey <> c.p_partkey) SELECT p_partkey, max(CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0.0::DOUBLE END) AS best_iou FROM j GROUP BY p_partkey"
+    f"WITH b AS (SELECT p_partkey, {PART_BOX} FROM part), j AS (SELECT a.p_partkey, c.p_partkey AS other, greatest(least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x), 0.0::DOUBLE) * greatest(least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y), 0.0::DOUBLE) AS i, a.w * a.h + c.w * c.h AS s FROM b a LEFT JOIN b c ON a.page = c.page AND a.p_partkey <> c.p_partkey) SELECT p_partkey, max(CASE WHEN other IS NOT NULL AND s - i > 0 THEN i / (s - i) ELSE 0.0::DOUBLE END) AS best_iou FROM j GROUP BY p_partkey"
 )
 def best_iou(spark, sf_dir):
-    b = part_boxes(spark, sf_dir)
-    other = b.select("page", F.col("p_partkey").alias("other"), F.col("bbox").alias("obox"))
-    pairs = b.join(other, "page").where("p_partkey <> other")
-    return pairs.groupBy("p_partkey").agg(F.max(G.iou(F.col("bbox"), F.col("obox"))).alias("best_iou"))
+    """Of each part's box with any other on its page; 0 where it overlaps none."""
+    return S.best_overlaps(part_boxes(spark, sf_dir), ["page"], "p_partkey").select("p_partkey", "best_iou")
 
 
 SPANS_SQL = f"""
@@ -422,4 +431,4 @@ def coverage_summary(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("characters"), F.count_if(F.col("n_chars") > 5000).alias("long_documents"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
 
 
-from . import more  # noqa: E402,F401  queries whose operators have no SQL
+from . import evaluation, more  # noqa: E402,F401  more queries

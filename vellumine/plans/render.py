@@ -12,8 +12,25 @@ SECTIONS = ("section", "subsection", "subsubsection", "paragraph", "subparagraph
 
 
 def heading_level(kind: Column) -> Column:
-    level = F.regexp_extract(kind, r"^heading_?([0-9]*)$", 1)
-    return F.when(kind.isin("heading", "title") & (kind == "heading"), F.lit(1)).when(level != "", F.least(F.greatest(level.try_cast("int"), F.lit(1)), F.lit(6)))
+    """1 to 6 of heading_1 to heading_6; anything else is no heading."""
+    return F.regexp_extract(kind, r"^heading_\+?0*([1-6])$", 1).try_cast("int")
+
+
+def markdown_figure(alt: Column, caption: Column, ref: Column) -> Column:
+    """An image, with its caption below unless that is the alternative text."""
+    shown = F.coalesce(alt, caption, ref, F.lit("image"))
+    image = F.concat(F.lit("!["), F.translate(T.sanitize_markdown(shown), "[]", ""), F.lit("]("), F.coalesce(ref, F.lit("#image")), F.lit(")"))
+    below = T.sanitize_markdown(caption)
+    return F.when((below != "") & (below != shown), F.concat(image, F.lit("\n\n"), below)).otherwise(image)
+
+
+def latex_figure(alt: Column, caption: Column, ref: Column) -> Column:
+    return F.concat(F.lit("[Image: "), T.escape_latex(F.coalesce(caption, alt, ref, F.lit("image"))), F.lit("]"))
+
+
+def paragraphs_to_markdown(parts: Column) -> Column:
+    """Paragraphs of one document that are still together: no block leaves its row."""
+    return F.array_join(F.transform(parts, T.sanitize_markdown), "\n\n")
 
 
 def markdown_text(kind: Column, text: Column) -> Column:

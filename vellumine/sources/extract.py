@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,8 +18,9 @@ from .blocks import SCHEMA, Block
 from .detect import FORMATS, TEXT_LIKE, hidden_sidecar
 from .pdf import pdf
 
-#: Rows that a batch holds at most.
+#: Rows that a batch holds at most, and bytes of contents that are Python objects together.
 ROWS = 4096
+BYTES = 16 << 20
 
 
 def text_of(content: bytes) -> str:
@@ -44,11 +47,21 @@ DECODERS: dict[str, Callable[[str, bytes], list[Block]]] = {
 }
 
 
+#: What register() has added: sent along with every extraction, since workers import their own copy.
+ADDED: dict[str, tuple[Callable[[str, bytes], list[Block]], tuple[str, ...]]] = {}
+
+
 def register(name: str, decoder: Callable[[str, bytes], list[Block]], *extensions: str) -> None:
-    """Add a format, or put another decoder in the place of one."""
-    DECODERS[name] = decoder
-    if extensions:
-        FORMATS[name] = extensions
+    """Add a format, or put another decoder in the place of one. Holds for extractions made from now on."""
+    ADDED[name] = (decoder, extensions)
+    install({name: ADDED[name]})
+
+
+def install(added: dict) -> None:
+    for name, (decoder, extensions) in added.items():
+        DECODERS[name] = decoder
+        if extensions:
+            FORMATS[name] = extensions
 
 
 def format_of(path: str) -> str | None:
@@ -83,13 +96,24 @@ def _record(path, kind, k, b: Block) -> dict:
     return {"path": path, "ok": True, "error": None, "format": kind, "page": b.page, "block_index": k, "kind": b.kind, "text": b.text, "bbox": box, "confidence": float(b.confidence), "headers": head, "rows": rows}
 
 
+def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose contents have BYTES together, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("content")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Blocks of each row of (path, content); other columns are ignored. A file without any text gives one
     row without a block; a null or broken one, a row with ok = false and the error. Nothing else fails."""
-    arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    arrow, added = to_arrow_schema(StructType.fromDDL(SCHEMA)), dict(ADDED)
 
     def run(batches):
-        for batch in batches:
+        install(added)
+        for batch in (part for whole in batches for part in by_bytes(whole)):
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 nothing = dict.fromkeys(arrow.names) | {"path": path, "ok": True}

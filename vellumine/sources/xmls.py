@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-import html as entities
 import re
 import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
 
-from ..functions.text import BLOCK_TAGS, HIDDEN_TAGS
+from ..functions.text import BLOCK_TAGS, ENTITIES, HIDDEN_TAGS
 from .blocks import Block, around, corners, paragraphs, squeeze
 
 _HIDDEN = re.compile(r"(?is)" + "|".join(rf"<{t}[>/\s].*?</{t}>|<{t}[>/\s](?!.*?</{t}>).*" for t in HIDDEN_TAGS))
 _BLOCK = re.compile(r"(?i)</?(" + "|".join(sorted(BLOCK_TAGS, key=len, reverse=True)) + r")(\s[^>]*)?/?>")
 
 
+_ENTITY = re.compile("&#[xX]([0-9a-fA-F]{1,8});|&#([0-9]{1,10});|" + "|".join(name for name, _ in ENTITIES))
+
+
+def decode_entities(text: str) -> str:
+    """As functions.text.decode_entities: all numeric entities and six named ones, each once."""
+
+    def one(m: re.Match) -> str:
+        if not (m[1] or m[2]):
+            return dict(ENTITIES)[m[0]]
+        code = int(m[1], 16) if m[1] else int(m[2])
+        return chr(code) if 0 < code < 0xD800 or 0xE000 <= code < 0x110000 else m[0]
+
+    return _ENTITY.sub(one, text)
+
+
 def visible(source: str) -> list[Block]:
     """Block tags part paragraphs, other tags vanish."""
     text = re.sub(r"<[^>]*>", "", _BLOCK.sub("\n\n", re.sub(r"\s+", " ", _HIDDEN.sub("", source))))
-    return paragraphs(entities.unescape(text))
+    return paragraphs(decode_entities(text))
 
 
 class _Hocr(HTMLParser):

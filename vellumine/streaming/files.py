@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.segments import run_diff
 from ..sources.extract import extract, list_files
 
 
@@ -21,6 +21,16 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def gate(runs: DataFrame, compare: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Call compare(batch, number) for each batch of arriving scores, such as a regression gate."""
-    return runs.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def gate(scores: DataFrame, baseline: DataFrame, out: str, checkpoint: str, epsilon: float = 0.005) -> StreamingQuery:
+    """A regression gate over arriving scores (id, metric, score): each batch is compared with the baseline
+    and appended to `out` with its verdicts and whether it passes (no score of it fell by over epsilon).
+    A batch that is run again after a failure replaces its own folder."""
+
+    def compare(batch: DataFrame, number: int) -> None:
+        found = run_diff(baseline, batch, epsilon).where("side <> 'only_in_baseline'")
+        fell = F.coalesce(F.col("verdict") == "regressed", F.lit(False))
+        passed = found.agg((F.count_if(fell) == 0).alias("passed"), F.count_if(fell).alias("regressions")).first()
+        shown = found.withColumn("passed", F.lit(passed["passed"])).withColumn("regressions", F.lit(passed["regressions"]))
+        shown.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return scores.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
