@@ -71,6 +71,7 @@ def kendall(ranks: DataFrame, key: str) -> DataFrame:
     pairs and within the JVM. Ties of g come with p rising, so that they count nowhere.
     """
     whole = Window.partitionBy(key)
+    ranks = ranks.select(key, "p", "g").repartition(key)  # dealt out once: all below groups by key and more
     rows = ranks.select(key, F.col("p").cast("long").alias("p"), F.col("g").cast("long").alias("g")).withColumn("top", F.max("p").over(whole))
     levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("top"), F.lit(1)))).cast("int"))
     bits = rows.select(key, "p", "g", F.explode(levels).alias("level"))

@@ -12,7 +12,10 @@ from ..workers import reachable
 from . import catalogue as Q
 
 
-@Q.query()
+_PAGES = f"SELECT CAST(page_id AS VARCHAR) || '.html' AS path, {Q.sql_paragraphs(Q.sql_html('html'))} AS p FROM pages"
+
+
+@Q.query(f"SELECT path, true AS ok, CAST(i - 1 AS INT) AS block_index, 'paragraph' AS kind, p[i] AS text FROM ({_PAGES}), unnest(range(1, len(p) + 1)) AS u(i) UNION ALL SELECT path, true, NULL, NULL, NULL FROM ({_PAGES}) WHERE len(p) = 0")
 def extract_pages(spark, sf_dir):
     """Web pages as HTML files."""
     p = Q.table(spark, sf_dir, "pages")
