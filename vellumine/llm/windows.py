@@ -38,6 +38,8 @@ from .common import U, column_bytes, column_ids, id_text, materialize, mix, new_
 from .suffix import WaveletIndex, joined, permuted_lcp, suffix_array
 
 GROUP_BYTES = 6 << 20
+#: Bytes of text for each part that anchors and segments are dealt to, so no part grows with the corpus.
+PART_BYTES = 32 << 20
 CHUNK = 1 << 21
 LAST = np.iinfo(np.int64).max
 
@@ -94,7 +96,7 @@ WORDS = Windows(True, 35, 8)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """(gid, path, at, size, head): groups of about GROUP_BYTES of text, compressed, in files of the
+    """(gid, path, at, size, length, head): groups of about GROUP_BYTES of text, compressed, in files of the
     shared folder, one a task. Only this list of them, with ids and sizes, is ever shuffled. An attempt
     writes a file of its own; the list is written out, so it names the files of one attempt for good."""
     folder = new_folder(docs.sparkSession, "texts")
@@ -118,17 +120,21 @@ def grouped(docs: DataFrame) -> DataFrame:
                     out = store.open_output_stream(path, compression=None)
                 text = squeeze.compress(body[offsets[i] : offsets[j]].tobytes())
                 out.write(text)
-                rows.append(((part << 33) + k, path, at, len(text), pack(ids[i:j], valid[i:j], np.diff(offsets[i : j + 1]))))
+                rows.append(((part << 33) + k, path, at, len(text), int(offsets[j] - offsets[i]), pack(ids[i:j], valid[i:j], np.diff(offsets[i : j + 1]))))
                 at, k = at + len(text), k + 1
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["gid", "path", "at", "size", "head"])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["gid", "path", "at", "size", "length", "head"])
         if out is not None:
             out.close()
 
-    listed = materialize(id_text(docs).mapInArrow(run, "gid long, path string, at long, size long, head binary"), "groups")
-    # a list of a few rows a task: dealt out again, since reading it back would put it into few tasks
-    return listed.withColumn("root", F.lit(folder)).repartition(2 * shuffle_parts(docs.sparkSession), "gid")
+    return materialize(id_text(docs).mapInArrow(run, "gid long, path string, at long, size long, length long, head binary"), "groups").withColumn("root", F.lit(folder))
+
+
+def parts_for(listed: DataFrame) -> int:
+    """Parts to deal to: twice the shuffle partitions, or as many as keep PART_BYTES of text to each."""
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    return max(2 * shuffle_parts(listed.sparkSession), -(-total // PART_BYTES))
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +227,7 @@ def repeated_anchors(groups: DataFrame, how: Windows, parts: int) -> DataFrame:
         kept = [k for k, x in enumerate(out) if x]
         return pa.table({"gid": pa.array(gids[kept], pa.int64()), "blob": pa.array([out[k] for k in kept], pa.binary())})
 
-    dealt = groups.mapInArrow(count, BLOBS)
+    dealt = groups.mapInArrow(count, BLOBS).repartition(parts, "part")
     return dealt.groupBy("part").applyInArrow(meet, "gid long, blob binary").groupBy("gid").agg(F.collect_list("blob").alias("blobs"))
 
 
@@ -464,10 +470,12 @@ def removal(docs: DataFrame, how: Windows, finish, schema: str) -> DataFrame:
     """finish(ids, valid, body, offsets, removed flags by symbol, symbols' offsets) -> columns of schema."""
     spark = docs.sparkSession
     ready(spark)
-    parts = 2 * shuffle_parts(spark)
-    groups = grouped(docs)
+    listed = grouped(docs)
+    parts = parts_for(listed)
+    # a list of a few rows a task: dealt out again, since reading it back would put it into few tasks
+    groups = listed.repartition(parts, "gid")
     anchors = repeated_anchors(groups, how, parts)
-    dealt = deal_segments(groups, anchors, how, parts)
+    dealt = deal_segments(groups, anchors, how, parts).repartition(parts, "part")
     decided = dealt.groupBy("part").applyInArrow(lambda t: shard(t, how), "gid long, blob binary").groupBy("gid").agg(F.collect_list("blob").alias("blobs"))
     names = [c.split()[0] for c in schema.split(", ")]
 
