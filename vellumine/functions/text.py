@@ -184,3 +184,20 @@ def context_window(text: Column, needle: Column, radius: int = 240) -> Column:
     at = F.instr(text, needle)
     first = F.greatest(F.lit(1), at - radius)
     return F.substr(text, first, F.when(at > 0, at - first + F.length(needle) + radius).otherwise(F.lit(2 * radius)))
+
+
+# LaTeX commands and the characters that a page shows for them, replaced in this order.
+MATH_SIGNS = (
+    ("\\Gamma", "Γ"), ("\\Theta", "Θ"), ("\\Lambda", "Λ"), ("\\Pi", "Π"), ("\\Sigma", "Σ"), ("\\Phi", "Φ"), ("\\Omega", "Ω"), ("\\alpha", "α"), ("\\beta", "β"), ("\\gamma", "γ"), ("\\delta", "δ"),
+    ("\\epsilon", "ε"), ("\\lambda", "λ"), ("\\theta", "θ"), ("\\rho", "ρ"), ("\\tau", "τ"), ("\\phi", "φ"), ("\\omega", "ω"), ("\\infty", "∞"), ("\\in", "∈"), ("\\cup", "∪"), ("\\cap", "∩"),
+    ("\\subseteq", "⊆"), ("\\supseteq", "⊇"), ("\\leq", "≤"), ("\\geq", "≥"), ("\\neq", "≠"), ("\\times", "×"), ("\\pm", "±"), ("\\to", "→"), ("\\mapsto", "↦"), ("\\cdots", "..."), ("\\ldots", "..."),
+)
+
+
+def math_alias(text: Column) -> Column:
+    """A formula as it is searched for in plain text; null if that is the text itself."""
+    got = text
+    for command, sign in MATH_SIGNS:
+        got = F.replace(got, F.lit(command), F.lit(sign))
+    got = F.translate(F.regexp_replace(got, r"([_^])\{([^{}]+)\}", "$1$2"), "{}", "")
+    return F.when(got != text, got)

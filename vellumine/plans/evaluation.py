@@ -205,3 +205,24 @@ def table_cap(spark, sf_dir):
     """At most eight tables a page, the first ones: the cap is the feature."""
     n = F.row_number().over(Window.partitionBy("page").orderBy("p_partkey"))
     return Q.part_boxes(spark, sf_dir).select("page", "p_partkey", n.alias("n")).where("n <= 8").select("page", "p_partkey")
+
+
+def sql_math_alias(x: str) -> str:
+    got = x
+    for command, sign in T.MATH_SIGNS:
+        got = f"replace({got}, '{command}', '{sign}')"
+    got = f"translate(regexp_replace({got}, '([_^])\\{{([^{{}}]+)\\}}', '\\1\\2', 'g'), '{{}}', '')"
+    return f"nullif({got}, {x})"
+
+
+_FORMULA = "'\\' || (['alpha', 'infty', 'in', 'leq', 'Sigma', 'cdots', 'none'])[CAST(p_partkey % 7 + 1 AS INT)] || CASE WHEN p_partkey % 2 = 0 THEN '_{' || p_size || '}' ELSE ' x^{a' || p_size || '} {b}' END"
+
+
+@Q.query(f"SELECT p_partkey, {sql_math_alias('f')} AS alias FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE {_FORMULA} END AS f FROM part)")
+def math_aliases(spark, sf_dir):
+    """Formulas made of parts, and their names, which hold no formula."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    names = F.array(*map(F.lit, ("alpha", "infty", "in", "leq", "Sigma", "cdots", "none")))
+    tail = F.when(k % 2 == 0, F.concat(F.lit("_{"), size, F.lit("}"))).otherwise(F.concat(F.lit(" x^{a"), size, F.lit("} {b}")))
+    formula = F.when(k % 5 == 0, F.col("p_name")).otherwise(F.concat(F.lit("\\"), F.element_at(names, (k % 7 + 1).cast("int")), tail))
+    return Q.table(spark, sf_dir, "part").select("p_partkey", T.math_alias(formula).alias("alias"))

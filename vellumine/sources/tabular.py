@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .blocks import Block, around, corners, squeeze
 
 #: Columns of an OCR word table.
@@ -54,12 +56,34 @@ def word_table(lines: list[str], sep: str) -> list[Block] | None:
     return out
 
 
+def feature_table(lines: list[str], sep: str) -> list[Block] | None:
+    """Features of a layout ground truth: kind, boxes as (page;[x0;y0;x1;y1]), and a text that may hold
+    separators. A feature lies on the page of its first box, within the box around all of them."""
+    head = [c.strip().lower() for c in lines[0].split(sep)]
+    if sep != "\t" or any(c not in head for c in ("feature", "bounding boxes", "text")):
+        return None
+    kind, boxes, text = (head.index(c) for c in ("feature", "bounding boxes", "text"))
+    out = []
+    for line in lines[1:]:
+        cells = line.split(sep)
+        words = squeeze(" ".join(cells[text:]))
+        if len(cells) <= max(kind, boxes, text) or not words:
+            continue
+        found = []
+        for page, inside in re.findall(r"([0-9]+);\[([^\]]*)\]", cells[boxes]):
+            values = [number(v) for v in inside.split(";")]
+            if len(values) == 4 and None not in values and values[2] > values[0] and values[3] > values[1]:
+                found.append((max(1, int(page)), corners(values)))
+        out.append(Block(squeeze(cells[kind]) or "row", words, found[0][0] if found else 1, around(b for _, b in found)))
+    return out or None
+
+
 def delimited(text: str, sep: str) -> list[Block]:
     """Filled cells of each row joined by a space; the header is a row like any other."""
     lines = [x for x in text.splitlines() if x.strip()]
     if not lines:
         return []
-    for probe in (word_table, ocr_boxes):
+    for probe in (word_table, feature_table, ocr_boxes):
         if (got := probe(lines, sep)) is not None:
             return got
     rows = [" ".join(filter(None, (squeeze(c).strip("\"'") for c in line.split(sep)))) for line in lines]
