@@ -13,6 +13,7 @@ import pytest
 from vellumine import api
 from vellumine.sources import containers, jsons, markup, tabular, xmls
 from vellumine.sources.extract import decode
+from vellumine.sources.glyphs import glyph_text
 from vellumine.streaming.files import ingest
 
 
@@ -24,15 +25,15 @@ def zipped(files: dict) -> bytes:
     return out.getvalue()
 
 
-def made_pdf(content: bytes, flate: bool = True) -> bytes:
+def made_pdf(content: bytes, flate: bool = True, page: bytes = b"", font: bytes = b"") -> bytes:
     body = zlib.compress(content) if flate else content
     name = b"/Filter /FlateDecode " if flate else b""
     objects = [
         b"<< /Type /Catalog /Pages 2 0 R >>",
         b"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 600 800] >>",
-        b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R " + page + b" /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>",
         b"<< " + name + b"/Length " + str(len(body)).encode() + b" >>\nstream\n" + body + b"\nendstream",
-        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica " + font + b" >>",
     ]
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"%%EOF"
 
@@ -52,6 +53,59 @@ def test_pdf(flate):
     assert all(b.page == 1 and b.box[1] >= 0 for b in blocks)
 
 
+def test_pdf_glyph_names():
+    font = b"/Encoding << /BaseEncoding /MacRomanEncoding /Differences [1 /f_f_i /eacute 65 /alpha /Omega /uni20AC /g7 /A.sc] >>"
+    assert decode("a.pdf", made_pdf(b"BT /F1 10 Tf 50 700 Td (\\001\\002ABCDE \\216) Tj ET", font=font))[1][0].text == "ffiéαΩ€DA é"
+    assert decode("a.pdf", made_pdf(b"BT /F1 10 Tf 50 700 Td <FEFF00E900670432> Tj ET"))[1][0].text == "égв"
+    assert [glyph_text(n) for n in ("lambda", "Zcaron", "u1D49C", "uniD800", "f__i", "cid7", "period")] == ["λ", "Ž", "\U0001d49c", None, None, None, "."]
+
+
+@pytest.mark.parametrize("angle,matrix", [(0, "1 0 0 1 0 0"), (90, "0 1 -1 0 600 0"), (180, "-1 0 0 -1 600 800"), (270, "0 -1 1 0 0 800"), (-90, "0 -1 1 0 0 800")])
+def test_pdf_rotated_pages_read_as_shown(angle, matrix):
+    turned = f"{matrix} cm\n".encode() + PAGE.replace(b"740", b"590").replace(b"700 Td", b"560 Td").replace(b"600 Td", b"500 Td").replace(b"586", b"486").replace(b"572", b"472")
+    flat = decode("a.pdf", made_pdf(turned.partition(b"\n")[2]))[1]
+    got = decode("a.pdf", made_pdf(turned, page=b"/Rotate %d" % angle))[1]
+    assert [(b.kind, b.text, b.grid) for b in got] == [(b.kind, b.text, b.grid) for b in flat]
+    lower = 200 if angle % 180 else 0  # a turned page is 600 high, not 800
+    assert all(abs(p - q) < 1e-6 for a, b in zip(got, flat) for p, q in zip(a.box, (b.box[0], b.box[1] - lower, b.box[2], b.box[3])))
+
+
+def ruled(xs, ys, cells, paint=b"S") -> bytes:
+    lines = [b"%d %d m %d %d l" % (x, ys[0], x, ys[-1]) for x in xs] + [b"%d %d m %d %d l" % (xs[0], y, xs[-1], y) for y in ys]
+    return b"\n".join([*lines, paint]) + b"\n" + said(cells)
+
+
+def said(cells) -> bytes:
+    return b"".join(b"BT /F1 10 Tf %d %d Td (%s) Tj ET\n" % c for c in cells)
+
+
+def test_pdf_ruled_tables():
+    xs, ys = [50, 150, 300, 400], [500, 520, 540, 560, 580]
+    cells = [(60, 565, b"Item"), (160, 565, b"What it is"), (60, 545, b"a"), (160, 545, b"first words"), (310, 525, b"9"), (60, 505, b"c")]
+    grid = [["Item", "What it is", ""], ["a", "first words", ""], ["", "", "9"], ["c", "", ""]]
+    after = b"BT /F1 10 Tf 50 450 Td (Text below it.) Tj ET\n"
+    got = decode("a.pdf", made_pdf(ruled(xs, ys, cells) + after))[1]
+    assert [(b.kind, b.text, b.grid) for b in got] == [("table", "", grid), ("paragraph", "Text below it.", [])]
+    assert got[0].box == (50, 220, 350, 80)
+    assert all(b.kind != "table" for b in decode("a.pdf", made_pdf(ruled(xs, ys, cells, b"n")))[1])  # nothing drawn
+    assert all(b.kind != "table" for b in decode("a.pdf", made_pdf(ruled(xs, ys, cells[:2])))[1])  # nothing below the head
+    short = ruled(xs, ys[2:], cells[:4])  # two rows are a table below a label only
+    label = b"BT /F1 10 Tf 50 600 Td (Table 1: things) Tj ET\n"
+    assert [b.kind for b in decode("a.pdf", made_pdf(short))[1] if b.kind == "table"] == []
+    assert [b.grid for b in decode("a.pdf", made_pdf(label + short))[1] if b.kind == "table"] == [grid[:2]]
+    lower = ruled(xs[:3], [y - 300 for y in ys], [(60, 265, b"x"), (160, 265, b"y"), (60, 245, b"1")])
+    assert [b.grid for b in decode("a.pdf", made_pdf(lower + ruled(xs, ys, cells)))[1]] == [grid, [["x", "y"], ["1", ""], ["", ""], ["", ""]]]
+    boxes = b"".join(b"%d %d %d %d re\n" % (x, y, w, 20) for x, w in ((50, 100), (150, 150), (300, 100)) for y in ys[:-1])
+    assert decode("a.pdf", made_pdf(boxes + b"B\n" + said(cells)))[1][0].grid == grid
+
+
+def test_pdf_spans(spark):
+    files = [("a.pdf", made_pdf(b"BT /F1 10 Tf 50 700 Td (one) Tj 0 -20 Td (two) Tj ET", page=b"/Rotate 180")), ("b.pdf", made_pdf(b"")), ("c.pdf", b"no"), ("d.pdf", None)]
+    got = api.pdf_spans(spark.createDataFrame(files, "path string, content binary")).orderBy("path", "span_index").collect()
+    assert [(r.path, r.ok, r.page, r.span_index, r.text) for r in got] == [("a.pdf", True, 1, 0, "one"), ("a.pdf", True, 1, 1, "two"), ("b.pdf", True, 1, None, None), ("c.pdf", False, None, None, None), ("d.pdf", False, None, None, None)]
+    assert (got[0].width, got[0].height, got[0].rotation) == (600, 800, 180) and got[0].bbox.x == 550 and got[0].bbox.y == 97.5
+
+
 def test_pdf_two_columns():
     left = b"".join(b"BT /F1 10 Tf 50 %d Td (left side number %d ends.) Tj ET\n" % (700 - 14 * k, k) for k in range(3))
     right = b"".join(b"BT /F1 10 Tf 330 %d Td (right side number %d ends.) Tj ET\n" % (693 - 14 * k, k) for k in range(3))

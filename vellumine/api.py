@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .plans import render as R
 from .sources.detect import detect_format, support_status
-from .sources.extract import extract, list_files, register
+from .sources.extract import extract, list_files, pdf_spans, register
 
-__all__ = ["detect_format", "extract", "inspect", "list_files", "only_pages", "parse_text", "read_documents", "register", "to_json", "to_latex", "to_markdown", "without_geometry"]
+__all__ = ["detect_format", "extract", "inspect", "list_files", "only_pages", "parse_text", "pdf_spans", "read_documents", "register", "to_json", "to_latex", "to_markdown", "without_geometry"]
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

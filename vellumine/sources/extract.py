@@ -16,7 +16,7 @@ from ..workers import reachable
 from . import containers, jsons, markup, tabular, xmls
 from .blocks import SCHEMA, Block
 from .detect import FORMATS, TEXT_LIKE, hidden_sidecar
-from .pdf import pdf
+from .pdf import pages_of, pdf
 
 #: Rows that a batch holds at most, and bytes of contents that are Python objects together.
 ROWS = 4096
@@ -106,24 +106,22 @@ def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Blocks of each row of (path, content); other columns are ignored. A file without any text gives one
-    row without a block; a null or broken one, a row with ok = false and the error. Nothing else fails."""
-    arrow, added = to_arrow_schema(StructType.fromDDL(SCHEMA)), dict(ADDED)
+def each_file(files: DataFrame, schema: str, rows_of: Callable[[str, bytes], list[dict]]) -> DataFrame:
+    """What a function gives for each row of (path, content), whose other columns are ignored. A null or broken
+    file gives a row with ok = false and the error."""
+    arrow, added = to_arrow_schema(StructType.fromDDL(schema)), dict(ADDED)
 
     def run(batches):
         install(added)
         for batch in (part for whole in batches for part in by_bytes(whole)):
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                nothing = dict.fromkeys(arrow.names) | {"path": path, "ok": True}
                 try:
                     if content is None or path is None:
                         raise ValueError("no content")
-                    kind, blocks = decode(path, content)
-                    got = [_record(path, kind, k, b) for k, b in enumerate(blocks)] or [nothing | {"format": kind}]
+                    got = rows_of(path, content)
                 except Exception as e:  # of this file alone
-                    got = [nothing | {"ok": False, "error": f"{type(e).__name__}: {e}"[:500]}]
+                    got = [{"path": path, "ok": False, "error": f"{type(e).__name__}: {e}"[:500]}]
                 rows += got
                 while len(rows) >= ROWS:
                     yield pa.RecordBatch.from_pylist(rows[:ROWS], schema=arrow)
@@ -131,7 +129,40 @@ def extract(files: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return reachable(files).select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, SCHEMA)
+    return reachable(files).select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
+
+
+def blocks_of(path: str, content: bytes) -> list[dict]:
+    kind, blocks = decode(path, content)
+    return [_record(path, kind, k, b) for k, b in enumerate(blocks)] or [{"path": path, "ok": True, "format": kind}]
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """Blocks of each row of (path, content); other columns are ignored. A file without any text gives one
+    row without a block; a null or broken one, a row with ok = false and the error. Nothing else fails."""
+    return each_file(files, SCHEMA, blocks_of)
+
+
+SPANS = (
+    "path string, ok boolean, error string, page int, width double, height double, rotation int, span_index int, text string, "
+    "bbox struct<x:double,y:double,width:double,height:double>, size double, bold boolean"
+)
+
+
+def spans_of(path: str, content: bytes) -> list[dict]:
+    out = []
+    for p in pages_of(content):
+        page = {"path": path, "ok": True, "error": None, "page": p.number, "width": p.width, "height": p.height, "rotation": p.rotation}
+        box = lambda r: {"x": r.x, "y": r.y - 0.25 * r.size, "width": r.width, "height": r.size}
+        out += [page | {"span_index": k, "text": r.text, "bbox": box(r), "size": r.size, "bold": r.bold} for k, r in enumerate(p.runs)] or [page]
+    return out
+
+
+def pdf_spans(files: DataFrame) -> DataFrame:
+    """The text layer of PDF files (path, content): a row a span with its page's size, y up from the bottom of the
+    page as shown, boxes from a quarter of the type size below the baseline. A page without text is a row without a
+    span; a null or broken file, a row with ok = false."""
+    return each_file(files, SPANS, spans_of)
 
 
 def list_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

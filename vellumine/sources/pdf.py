@@ -3,6 +3,7 @@
 Objects are found by their `N G obj` heads, so a broken cross-reference table is no matter; the last body
 of a number holds.  Dictionaries are really parsed.  Pages come in the order of the page tree, else of the
 file.  FlateDecode, ASCII85Decode and ASCIIHexDecode are read; other filters leave a page without text.
+A page with /Rotate is read as it is shown.  Stroked lines that form a grid make a table of what lies in it.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from ..operators.layout import reading_order
 from .blocks import Block, squeeze
+from .glyphs import glyph_text
 
 SPACES, DELIMITERS = b" \t\r\n\f\0", b"()<>[]{}/%"
 HEAD = re.compile(rb"(?<!\d)(\d+)[ \t\r\n\f\0]+(\d+)[ \t\r\n\f\0]+obj\b")
@@ -228,6 +232,18 @@ class Font:
                     self.widths |= {c: float(w[k + 2]) for c in range(w[k], min(nxt, w[k] + 65535) + 1)}
                 k += 3
         self.default = float(file.get(inner.get("DW")) or 1000) if self.two else 500.0
+        enc = file.get(info.get("Encoding"))
+        base = file.get(enc.get("BaseEncoding")) if isinstance(enc, dict) else enc
+        self.base = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
+        self.named: dict[int, str] = {}
+        at = 0
+        for v in map(file.get, (file.get(enc.get("Differences")) or []) if isinstance(enc, dict) else []):
+            if isinstance(v, int):
+                at = v
+            elif isinstance(v, Name):
+                if text := glyph_text(v):
+                    self.named[at] = text
+                at += 1
         cmap = file.get(info.get("ToUnicode"))
         if isinstance(cmap, Stream):
             self.read(file.body(cmap) or b"")
@@ -250,7 +266,9 @@ class Font:
         return [int.from_bytes(raw[k : k + 2], "big") for k in range(0, len(raw) - 1, 2)] if self.two else list(raw)
 
     def char(self, code: int) -> str:
-        return self.map[code] if code in self.map else "" if self.two else bytes([code]).decode("cp1252", "replace")
+        if code in self.map:
+            return self.map[code]
+        return "" if self.two else self.named[code] if code in self.named else bytes([code]).decode(self.base, "replace")
 
 
 @dataclass
@@ -267,9 +285,28 @@ def times(a, b):
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
-def text_runs(content: bytes, fonts: dict[str, Font]) -> list[Run]:
-    one = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-    ctm, saved, tm, lm, out, args = one, [], one, one, [], []
+ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+Edge = tuple[float, float, float, float]  # x, y of both ends
+
+
+def shown(angle: int, width: float, height: float) -> tuple:
+    """The matrix that turns a page as a viewer does, and the size it has then."""
+    angle %= 360
+    if angle == 90:
+        return (0.0, -1.0, 1.0, 0.0, 0.0, width), height, width
+    if angle == 180:
+        return (-1.0, 0.0, 0.0, -1.0, width, height), width, height
+    if angle == 270:
+        return (0.0, 1.0, -1.0, 0.0, height, 0.0), height, width
+    return ONE, width, height
+
+
+def read_content(content: bytes, fonts: dict[str, Font], start=ONE) -> tuple[list[Run], list[Edge]]:
+    """Text runs and stroked straight lines of a page, in the space that the first matrix leads to."""
+    ctm, saved, tm, lm, out, args = start, [], ONE, ONE, [], []
+    edges: list[Edge] = []
+    path: list[Edge] = []
+    pen = begun = (0.0, 0.0)
     font, size, gap, word, scale, lead, rise = None, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0
     lexer = Lexer(content)
 
@@ -281,6 +318,8 @@ def text_runs(content: bytes, fonts: dict[str, Font]) -> list[Run]:
         for c in font.codes(raw):
             text += font.char(c)
             dx += (font.widths.get(c, font.default) / 1000 * size + gap + (word if c == 32 and not font.two else 0)) * scale
+        if raw.startswith(b"\xfe\xff") and not font.two and not font.map:
+            text = raw[2:].decode("utf-16-be", "replace")
         m = times(tm, ctm)
         tall = (m[2] ** 2 + m[3] ** 2) ** 0.5
         wide = (m[0] ** 2 + m[1] ** 2) ** 0.5
@@ -288,6 +327,14 @@ def text_runs(content: bytes, fonts: dict[str, Font]) -> list[Run]:
             out.append(Run(m[4] + rise * m[2], m[5] + rise * m[3], dx * wide, abs(size) * tall, text, font.bold))
         tm = times((1, 0, 0, 1, dx, 0), tm)
 
+    def place(x, y):
+        return (ctm[0] * x + ctm[2] * y + ctm[4], ctm[1] * x + ctm[3] * y + ctm[5])
+
+    def draw(to):
+        nonlocal pen
+        path.append((*pen, *to))
+        pen = to
+
     def line(dx, dy):
         nonlocal tm, lm
         tm = lm = times((1, 0, 0, 1, dx, dy), lm)
@@ -295,7 +342,7 @@ def text_runs(content: bytes, fonts: dict[str, Font]) -> list[Run]:
     while True:
         v = lexer.value()
         if v is None:
-            return out
+            return out, edges
         if not isinstance(v, Word):
             args.append(v)
             continue
@@ -308,7 +355,7 @@ def text_runs(content: bytes, fonts: dict[str, Font]) -> list[Run]:
         elif v == "cm" and len(n) == 6:
             ctm = times(n, ctm)
         elif v == "BT":
-            tm = lm = one
+            tm = lm = ONE
         elif v == "Tf" and n:
             font, size = fonts.get(next((a for a in args if isinstance(a, Name)), "")), n[-1]
         elif v == "Tc" and n:
@@ -341,6 +388,26 @@ def text_runs(content: bytes, fonts: dict[str, Font]) -> list[Run]:
                     show(a)
                 elif isinstance(a, (int, float)):
                     tm = times((1, 0, 0, 1, -a / 1000 * size * scale, 0), tm)
+        elif v == "m" and len(n) == 2:
+            pen = begun = place(*n)
+        elif v == "l" and len(n) == 2:
+            draw(place(*n))
+        elif v in ("c", "v", "y") and len(n) >= 4:
+            pen = place(*n[-2:])
+        elif v == "re" and len(n) == 4:
+            x, y, wide, high = n
+            pen = begun = place(x, y)
+            for corner in ((x + wide, y), (x + wide, y + high), (x, y + high), (x, y)):
+                draw(place(*corner))
+        elif v == "h":
+            draw(begun)
+        elif v in ("S", "s", "B", "B*", "b", "b*"):
+            if v in ("s", "b", "b*"):
+                draw(begun)
+            edges += path
+            path = []
+        elif v in ("n", "f", "F", "f*"):
+            path = []
         elif v == "BI":  # an inline image is passed over
             end = re.compile(rb"\sEI(?=\s)").search(content, lexer.at)
             lexer.at = end.end() if end else len(content)
@@ -410,7 +477,55 @@ def aligned_tables(lines: list[Line]) -> list[tuple[int, int]]:
     return out
 
 
-def page_blocks(runs: list[Run], number: int, height: float) -> list[Block]:
+def axis(values: list[float]) -> list[float]:
+    """Positions of ruled lines, those within 2 of the last as one."""
+    out: list[float] = []
+    for v in sorted(values):
+        if not out or v - out[-1] > 2:
+            out.append(v)
+    return out
+
+
+def ruled_tables(runs: list[Run], edges: list[Edge]) -> tuple[list[tuple[list[list[str]], tuple]], list[Run]]:
+    """Tables (grid, box with y up) that lines of 12 points and more rule, and the runs outside them. Lines whose heights
+    touch belong to one grid. It needs two rows and two columns, and four rows where no line above begins with "table";
+    three cells with text, some of them in the first row and some below."""
+    level = [(min(e[1], e[3]), max(e[1], e[3]), e) for e in edges if abs(e[1] - e[3]) <= 1 and abs(e[0] - e[2]) >= 12]
+    upright = [(min(e[1], e[3]), max(e[1], e[3]), e) for e in edges if abs(e[0] - e[2]) <= 1 and abs(e[1] - e[3]) >= 12]
+    bands: list[tuple[float, list[float], list[float]]] = []  # top, x of upright lines, y of level ones
+    for low, high, e in sorted(level + upright):
+        top, xs, ys = bands.pop() if bands and low <= bands[-1][0] + 2 else (high, [], [])
+        if abs(e[0] - e[2]) <= 1:
+            xs.append((e[0] + e[2]) / 2)
+        else:
+            ys.append((e[1] + e[3]) / 2)
+        bands.append((max(top, high), xs, ys))
+    found = []
+    for _, xs, ys in bands[::-1]:
+        xs, ys = axis(xs), axis(ys)
+        if len(xs) < 3 or len(ys) < 3:
+            continue
+        label = any(r.text.strip().lower().startswith("table") and ys[-1] <= r.y <= ys[-1] + 96 and r.x <= xs[-1] + 24 and r.x + r.width >= xs[0] - 24 for r in runs)
+        if not label and len(ys) < 5:
+            continue
+        cells: dict[tuple[int, int], list[Run]] = {}
+        for r in runs:
+            x, y = r.x + r.width / 2, r.y + 0.4 * r.size
+            if xs[0] <= x <= xs[-1] and ys[0] <= y <= ys[-1]:
+                at = (len(ys) - 1 - min(bisect_right(ys, y), len(ys) - 1), min(bisect_right(xs, x), len(xs) - 1) - 1)
+                cells.setdefault(at, []).append(r)
+        if len(cells) < 3 or not 0 < sum(row == 0 for row, _ in cells) < len(cells):
+            continue
+        say = lambda at: squeeze(" ".join(x.text for x in lines_of(cells.get(at, []))))
+        grid = [[say((i, j)) for j in range(len(xs) - 1)] for i in range(len(ys) - 1)]
+        found.append((grid, (xs[0], ys[0], xs[-1] - xs[0], ys[-1] - ys[0])))
+        inside = {id(r) for part in cells.values() for r in part}
+        runs = [r for r in runs if id(r) not in inside]
+    return found, runs
+
+
+def page_blocks(runs: list[Run], number: int, height: float, edges: list[Edge] = ()) -> list[Block]:
+    ruled, runs = ruled_tables(runs, edges)
     lines = lines_of(runs)
     weight: Counter = Counter()
     for x in lines:
@@ -420,6 +535,7 @@ def page_blocks(runs: list[Run], number: int, height: float) -> list[Block]:
     tables = dict(aligned_tables(lines))
     k = 0
     flip = lambda b: (b[0], height - b[1] - b[3], b[2], b[3])
+    out += [Block("table", "", number, flip(box), 0.7, grid) for grid, box in ruled]
     while k < len(lines):
         if k in tables:
             part = lines[k : tables[k]]
@@ -456,27 +572,44 @@ def wrapped(blocks: list[Block]) -> list[Block]:
     return out
 
 
-def pdf(content: bytes) -> list[Block]:
+@dataclass
+class Page:
+    number: int
+    width: float
+    height: float
+    rotation: int
+    runs: list[Run]
+    edges: list[Edge]
+    images: int  # that its resources name
+
+
+def pages_of(content: bytes) -> Iterator[Page]:
+    """Pages with their text layer, sizes and positions as shown (y up)."""
     if b"%PDF-" not in content[:1024]:
         raise ValueError("no PDF header")
-    file, out = File(content), []
+    file = File(content)
     if re.search(rb"/Encrypt\b", content):
         raise ValueError("encrypted PDF")
     for number, page in enumerate(file.pages(), 1):
         box = [v if isinstance(v, (int, float)) else 0 for v in map(file.get, file.get(page.get("MediaBox")) or [0, 0, 612, 792])]
-        height = float(box[3] - box[1]) if len(box) == 4 else 792.0
+        width, height = (float(box[2] - box[0]), float(box[3] - box[1])) if len(box) == 4 else (612.0, 792.0)
+        angle = file.get(page.get("Rotate"))
+        angle = int(angle) % 360 if isinstance(angle, (int, float)) else 0
+        start, width, height = shown(angle, width, height)
         res = file.get(page.get("Resources"))
-        fonts = file.get(res.get("Font")) if isinstance(res, dict) else None
-        loaded = {k: Font(file, f) for k, v in (fonts or {}).items() if isinstance(f := file.get(v), dict)}
+        res = res if isinstance(res, dict) else {}
+        loaded = {k: Font(file, f) for k, v in (file.get(res.get("Font")) or {}).items() if isinstance(f := file.get(v), dict)}
         parts = file.get(page.get("Contents"))
-        parts = parts if isinstance(parts, list) else [parts]
+        parts = parts if isinstance(parts, list) else [page.get("Contents")]
         bodies = [file.body(s) for s in map(file.get, parts) if isinstance(s, Stream)]
-        blocks = page_blocks(text_runs(b"\n".join(b for b in bodies if b), loaded), number, height)
-        if not blocks:
-            objects = file.get(res.get("XObject")) if isinstance(res, dict) else None
-            for v in (objects or {}).values():
-                x = file.get(v)
-                if isinstance(x, Stream) and x.info.get("Subtype") == "Image":
-                    blocks.append(Block("figure", "", number, (0.0, 0.0, float(box[2] - box[0]), height), 0.6))
-        out += blocks
+        runs, edges = read_content(b"\n".join(b for b in bodies if b), loaded, start)
+        objects = map(file.get, (file.get(res.get("XObject")) or {}).values())
+        yield Page(number, width, height, angle, runs, edges, sum(isinstance(x, Stream) and x.info.get("Subtype") == "Image" for x in objects))
+
+
+def pdf(content: bytes) -> list[Block]:
+    out: list[Block] = []
+    for p in pages_of(content):
+        blocks = page_blocks(p.runs, p.number, p.height, p.edges)
+        out += blocks or [Block("figure", "", p.number, (0.0, 0.0, p.width, p.height), 0.6) for _ in range(p.images)]
     return out
