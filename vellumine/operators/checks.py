@@ -23,21 +23,95 @@ def window_of(text: Column, first_n: Column, last_n: Column) -> Column:
     return F.when(first_n > 0, F.substr(text, F.lit(1), first_n)).when(last_n > 0, F.substr(text, F.greatest(F.length(text) - last_n + 1, F.lit(1)), last_n)).otherwise(text)
 
 
-def check_result(text: Column) -> Column:
-    """Whether a check passes over a text; null where it names nothing. Columns of the check: kind
-    (present, absent, order, math), expected, before, after, first_n, last_n, case_sensitive."""
+def fuzzy_find(text: Column, wanted: Column, most: Column) -> Column:
+    """Where a text (single spaces) has what is wanted, from 1: exactly, else the first run of words, two more or
+    fewer than wanted, within so many edits; 0 for nowhere."""
+    exact, words, n = F.instr(text, wanted), F.split(text, " "), F.size(F.split(wanted, " "))
+    run = lambda i, k: F.array_join(F.slice(words, i + 1, k), " ")
+
+    def near(i: Column) -> Column:
+        lengths = F.filter(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda d: n + d), lambda k: (k >= 1) & (i + k <= F.size(words)))
+        return F.exists(lengths, lambda k: F.call_function("levenshtein", run(i, k), wanted, most) >= 0)
+
+    start = F.try_element_at(F.filter(F.transform(words, lambda _, i: i), near), F.lit(1))
+    place = F.when(start == 0, 1).otherwise(F.length(F.array_join(F.slice(words, F.lit(1), start), " ")) + 2)
+    return F.when((exact > 0) | (most <= 0) | (text == "") | (wanted == ""), exact).otherwise(F.coalesce(place, F.lit(0)))
+
+
+def found(text: Column, wanted: Column, fuzzy: bool = False) -> Column:
+    """Where a check's text is in the part that the check looks at, from 1; 0 for nowhere. Its columns: first_n, last_n,
+    case_sensitive, and max_diffs if it may be fuzzy."""
     plain = lambda c: F.when(F.col("case_sensitive"), T.collapse(c)).otherwise(T.collapse(F.lower(c)))
     seen = plain(window_of(text, F.col("first_n"), F.col("last_n")))
-    there = lambda c: F.instr(seen, plain(F.col(c)))
-    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return fuzzy_find(seen, plain(wanted), F.coalesce("max_diffs", F.lit(0))) if fuzzy else F.instr(seen, plain(wanted))
+
+
+def named(name: str) -> Column:
+    return F.coalesce(F.trim(name), F.lit("")) != ""
+
+
+def check_result(text: Column, fuzzy: bool = False) -> Column:
+    """Whether a check passes over a text; null where it names nothing. Columns of the check: kind
+    (present, absent, order, math), expected, before, after, and those of found()."""
+    at = lambda name: found(text, F.col(name), fuzzy)
     return (
-        F.when((F.col("kind") == "present") & named("expected"), there("expected") > 0)
-        .when((F.col("kind") == "absent") & named("expected"), there("expected") == 0)
-        .when((F.col("kind") == "order") & named("before") & named("after"), (there("before") > 0) & (there("after") > 0) & (there("before") < there("after")))
+        F.when((F.col("kind") == "present") & named("expected"), at("expected") > 0)
+        .when((F.col("kind") == "absent") & named("expected"), at("expected") == 0)
+        .when((F.col("kind") == "order") & named("before") & named("after"), (at("before") > 0) & (at("after") > 0) & (at("before") < at("after")))
         .when((F.col("kind") == "math") & named("expected"), F.contains(T.normalize_math(text), T.normalize_math(F.col("expected"))))
     )
 
 
+# What a table check may name beside its cell, and where that stands (rows down, columns right).
+BESIDE = {"up": (-1, 0), "down": (1, 0), "left": (0, -1), "right": (0, 1)}
+HEADINGS = ("top_heading", "left_heading")
+
+
+def table_check(text: Column, grids: Column, fuzzy: bool = False) -> Column:
+    """Whether a table (rows of cells, the header first) has the expected cell with the neighbours and headings that
+    the check names; else, whether the text has all of them. Null where no cell is named. Columns of the check:
+    expected, up, down, left, right, top_heading, left_heading, and those of found()."""
+    has = lambda cell, name: F.coalesce(found(cell, F.col(name), fuzzy) > 0, F.lit(False))
+
+    any_has = lambda cells, name: F.exists(cells, lambda c: has(c, name))
+
+    def holds(grid: Column, row: Column, i: Column, value: Column, j: Column) -> Column:
+        good = has(value, "expected")
+        for name, (down, right) in BESIDE.items():
+            good &= ~named(name) | has(F.get(F.get(grid, i + down), j + right), name)
+        above = F.transform(F.slice(grid, F.lit(1), i), lambda r: F.get(r, j))
+        for name, cells in zip(HEADINGS, (above, F.slice(row, F.lit(1), j))):
+            good &= ~named(name) | any_has(cells, name)
+        return good
+
+    yes = lambda x: x
+    in_grid = lambda g: F.exists(F.transform(g, lambda row, i: F.exists(F.transform(row, lambda value, j: holds(g, row, i, value, j)), yes)), yes)
+    everything = F.lit(True)
+    for name in ("expected", *BESIDE, *HEADINGS):
+        everything &= ~named(name) | has(text, name)
+    return F.when(named("expected"), F.coalesce(F.exists(grids, in_grid), F.lit(False)) | everything)
+
+
+# What failed, by the kind of a check, and a text that images alone leave.
+FAILED = {"math": "math preservation", "table": "table structure", "order": "reading order"}
+ONLY_IMAGES = r"^Image image-\S+( Image image-\S+)*$"
+
+
+def failure_class(kind: Column, text: Column, expected: Column, with_tables: Column) -> Column:
+    """The likely reason of a failed check."""
+    out = F.when(F.lit(False), "")
+    for name, reason in FAILED.items():
+        out = out.when(kind == name, reason)
+    plain = T.collapse(F.coalesce(text, F.lit("")))
+    return (
+        out.when((plain == "") | plain.rlike(ONLY_IMAGES), "scanned/OCR missing")
+        .when(kind == "absent", "Markdown rendering")
+        .when(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") | F.coalesce(expected, F.lit("")).rlike(r"[^\x00-\x7F]"), "font decoding")
+        .when(with_tables & (kind == "present"), "table structure")
+        .otherwise("text-state/matrix handling")
+    )
+
+
 def check_report(results: DataFrame) -> DataFrame:
     """(kind, passed, scored, pass_rate), with a row of null kind for all; checks without a result don't count."""
     scored = results.where("passed is not null")

@@ -53,6 +53,36 @@ def metric_means(spark, sf_dir):
     return C.metric_means(s, ["quality", "toxic", "length"])
 
 
+_REASON = """CASE WHEN kind = 'math' THEN 'math preservation' WHEN kind = 'order' THEN 'reading order' WHEN trim(text) = '' THEN 'scanned/OCR missing' WHEN kind = 'absent' THEN 'Markdown rendering'
+ WHEN regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') OR regexp_matches(expected, '[^\\x00-\\x7F]') THEN 'font decoding' WHEN kind = 'present' AND source = 'web' THEN 'table structure' ELSE 'text-state/matrix handling' END"""
+
+
+@Q.query(
+    f"SELECT kind, reason, count(*) AS failures FROM (SELECT kind, {_REASON} AS reason FROM (SELECT (['present', 'absent', 'order', 'math'])[CAST(d.doc_id % 4 + 1 AS INT)] AS kind, d.text, d.source, substr(b.text, 1, 24) AS expected "
+    "FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))) GROUP BY ALL"
+)
+def failure_classes(spark, sf_dir):
+    """Why checks of documents would fail, tallied; those from the web count as having tables."""
+    kind = F.element_at(F.array(*map(F.lit, ("present", "absent", "order", "math"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    source = Q.table(spark, sf_dir, "documents").select("doc_id", "source")
+    c = Q.document_pairs(spark, sf_dir).join(source, "doc_id").select(kind.alias("kind"), F.col("output").alias("text"), F.substring("truth", 1, 24).alias("expected"), F.coalesce(F.col("source") == "web", F.lit(False)).alias("tables"))
+    reason = C.failure_class(F.col("kind"), F.col("text"), F.col("expected"), F.col("tables"))
+    return c.groupBy("kind", reason.alias("reason")).agg(F.count("*").alias("failures"))
+
+
+@Q.query(
+    "WITH t AS (SELECT p_partkey, p_name || ' ' || p_type AS seen, CASE p_partkey % 3 WHEN 0 THEN 'x' || p_type WHEN 1 THEN 'xyz' || p_type ELSE p_type END AS e FROM part), "
+    "w AS (SELECT *, string_split(seen, ' ') AS words, len(string_split(e, ' ')) AS n FROM t), "
+    "f AS (SELECT p_partkey, seen, e, words, list_filter(range(1, len(words) + 1), lambda i: len(list_filter(range(greatest(n - 2, 1), least(n + 2, len(words) - i + 1) + 1), lambda k: levenshtein(array_to_string(words[i:i + k - 1], ' '), e) <= 2)) > 0)[1] AS hit FROM w) "
+    "SELECT p_partkey, CAST(CASE WHEN strpos(seen, e) > 0 THEN strpos(seen, e) WHEN hit IS NULL THEN 0 WHEN hit = 1 THEN 1 ELSE length(array_to_string(words[1:hit - 1], ' ')) + 2 END AS INT) AS place FROM f"
+)
+def fuzzy_places(spark, sf_dir):
+    """A part's type with letters before it, in its name and type, within two edits."""
+    k, kind = F.col("p_partkey"), F.col("p_type")
+    wanted = F.when(k % 3 == 0, F.concat(F.lit("x"), kind)).when(k % 3 == 1, F.concat(F.lit("xyz"), kind)).otherwise(kind)
+    return Q.table(spark, sf_dir, "part").select("p_partkey", C.fuzzy_find(F.concat_ws(" ", "p_name", "p_type"), wanted, F.lit(2)).alias("place"))
+
+
 ORDER_ROWS_SQL = """g AS (SELECT l_orderkey, list(CASE WHEN l_suppkey % 19 = 0 THEN [l_returnflag, 'a b c d ' || l_linestatus] WHEN l_suppkey % 23 = 0 THEN ['one two three ' || l_returnflag, 'four five six ' || l_linestatus] WHEN l_suppkey % 3 = 0 THEN [l_returnflag, CAST(l_linenumber AS VARCHAR) || '%'] WHEN l_suppkey % 7 = 0 THEN ['', ''] ELSE [l_returnflag, ''] END ORDER BY l_linenumber, l_partkey, l_suppkey) AS rows FROM lineitem GROUP BY l_orderkey)"""
 _NUM = "(regexp_matches(trim(c), '^[0-9$(),.%+ –—-]+$') AND regexp_matches(trim(c), '[0-9]'))"
 _TOK = Q.sql_tokens("c")
