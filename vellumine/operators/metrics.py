@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from ..shared import materialize, shuffle_parts
 from ..workers import reachable
 
 
@@ -91,13 +92,29 @@ def kendall(ranks: DataFrame, key: str) -> DataFrame:
     return got.select(key, "concordant", "discordant", "tau", ((F.col("tau") + 1) / 2).alias("normalized"))
 
 
-def precision_recall(scored: DataFrame, group: str, score: str, hit: str, ident: str) -> DataFrame:
-    """Running precision and recall in score order, with the precision envelope."""
-    order = Window.partitionBy(group).orderBy(F.desc(score), ident)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(group)
-    tp = F.sum(hit).over(upto)
-    rows = scored.withColumn("rank", F.row_number().over(order)).withColumn("tp", tp).withColumn("positives", F.sum(hit).over(whole))
+def precision_recall(scored: DataFrame, group: str | list[str], score: str, hit: str, ident: str | list[str]) -> DataFrame:
+    """Running precision and recall in score order, with the precision envelope, by group; ties go by ident.
+
+    The rows are dealt out by ranges of the order and written, so a group of any size is many tasks' work.
+    A row adds what its range has up to it to what the ranges before have; the envelope, the other way round.
+    """
+    by, ties = [group] if isinstance(group, str) else list(group), [ident] if isinstance(ident, str) else list(ident)
+    order = [F.desc(score), *ties]
+    dealt = materialize(scored.repartitionByRange(shuffle_parts(scored.sparkSession), *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    upto = lambda *c: Window.partitionBy("_range", *by).orderBy(*c).rowsBetween(Window.unboundedPreceding, 0)
+    past = lambda c: Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  over one row a range
+
+    def with_each_range(rows: DataFrame, per: DataFrame) -> DataFrame:
+        per = per.withColumnsRenamed({c: f"_of_{c}" for c in ["_range", *by]})
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+        return rows.join(per, [F.col("_range") == F.col("_of__range"), *same]).drop(*[f"_of_{c}" for c in ["_range", *by]])
+
+    per = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"), F.sum(hit).alias("_tp"))
+    per = per.select("_range", *by, F.coalesce(F.sum("_n").over(past("_range")), F.lit(0)).alias("_n"), F.sum("_tp").over(past("_range")).alias("_tp"), F.sum("_tp").over(Window.partitionBy(*by)).alias("positives"))
+    own = F.sum(hit).over(upto(*order))
+    rows = with_each_range(dealt, per).withColumn("rank", F.col("_n") + F.row_number().over(upto(*order))).withColumn("tp", F.coalesce(F.col("_tp") + own, own, "_tp")).drop("_n", "_tp")
     rows = rows.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.greatest("positives", F.lit(1))).otherwise(F.lit(0.0)))
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("envelope", F.max("precision").over(onward))
+    later = rows.groupBy("_range", *by).agg(F.max("precision").alias("_most"))
+    later = later.select("_range", *by, F.max("_most").over(past(F.desc("_range"))).alias("_later"))
+    envelope = F.greatest(F.max("precision").over(upto(F.desc("rank"))), "_later")
+    return with_each_range(rows, later).withColumn("envelope", envelope).drop("_range", "_later")

@@ -296,7 +296,7 @@ def kendall_tau(spark, sf_dir):
 )
 def precision_recall_curve(spark, sf_dir):
     s = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    return M.precision_recall(s, "lang", "n_chars", "quality", "doc_id").select("doc_id", "lang", "rank", "precision", "recall", "envelope")
+    return M.precision_recall(s, "lang", "n_chars", "quality", "doc_id").select("doc_id", "lang", F.col("rank").cast("int").alias("rank"), "precision", "recall", "envelope")
 
 
 @query("SELECT d.source, CAST(count(*) AS BIGINT) AS n_documents, sum(l.quality * d.n_chars)::DOUBLE / sum(d.n_chars) AS weighted_quality, avg(l.quality)::DOUBLE AS mean_quality, count(*) FILTER (WHERE l.toxic = 1) AS n_toxic FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source")
