@@ -31,3 +31,24 @@ def test_curve_of_one_large_group(spark):
     got = M.precision_recall(spark.createDataFrame(rows, "id long, lang string, score int, hit int"), "lang", "score", "hit", "id")
     assert {r.id: (r["rank"], r["precision"], r["recall"], r["envelope"]) for r in got.collect()} == want
     assert "currentrow$(),unboundedfollowing$()" not in plan(got).lower().replace(" ", ""), "each row would look at all that follow"
+
+
+def test_detections_of_a_crowded_page(spark, monkeypatch):
+    from vellumine.operators import layout as L
+
+    g = random.Random(5)
+    iou, calls = L.iou, []
+    monkeypatch.setattr(L, "iou", lambda a, b: calls.append(1) or iou(a, b))
+    for size, side, least in ((40, 30, 0.5), (150, 40, 0.3), (150, 40, 0.0), (60, 20, 0.75), (2500, 400, 0.5)):
+        box = lambda: (g.randrange(-side, side), g.randrange(side), g.choice([0, -1, 3, 4, 5, 8, 30]), g.choice([2, 3, 5, 9]))
+        truth, found = [box() for _ in range(size)], [(g.randrange(7), box()) for _ in range(size)]
+        calls.clear()
+        got, taken, want = L.greedy_matches(truth, found, least), set(), [None] * size
+        assert len(calls) < size * size / 4, "every pair of a page was looked at"
+        for k in sorted(range(size), key=lambda k: (-found[k][0], k)):
+            over, j = max(((iou(found[k][1], b), -j) for j, b in enumerate(truth) if j not in taken), default=(0.0, 0))
+            if over >= least and over > 0:
+                taken.add(-j)
+                want[k] = -j
+        assert got == want
+        assert L.greedy_matches([], found, least) == [None] * size and L.greedy_matches(truth, [], least) == []

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import shuffle_parts
 from ..workers import reachable
+from .metrics import precision_recall
 
 
 def iou(a, b) -> float:
@@ -81,51 +84,131 @@ def order_pages(blocks: DataFrame, page: list[str], ident: str) -> DataFrame:
     return reachable(blocks).select(*page, ident, "bbox").groupBy(*page).applyInPandas(one, schema)
 
 
+def near_boxes(truth: np.ndarray, boxes: np.ndarray, least: float, most: int = 1 << 20):
+    """For blocks of boxes in their order: (first, last, starts, index, overlap), the true boxes that overlap
+    each by `least` and more than nothing; those of box k are at starts[k - first] to starts[k - first + 1].
+
+    An overlap of t leaves left edges within (1 - t) times the width of the box that begins first, and widths
+    within a factor of t; so a box looks up a small part of a grid of left upper corners. A block has about
+    `most` pairs, or one box.
+    """
+    whole = np.flatnonzero(np.isfinite(truth).all(1) & (truth[:, 2:] > 0).all(1))
+    part, slack = truth[whole], 1e-9
+    t = min(max(least, 0.0), 1.0)
+    if not len(part):
+        yield 0, len(boxes), np.zeros(len(boxes) + 1, np.int64), whole, np.zeros(0)
+        return
+    span, first, last, names = part[:, 2:].max(0), [], [], []
+    usable = np.isfinite(boxes).all(1) & (boxes[:, 2:] > 0).all(1)
+    asked = np.where(usable[:, None], boxes, 0.0)
+    for k in (0, 1):
+        cell = max(float(np.median(part[:, k + 2])), float(np.ptp(part[:, k])) / len(part) ** 0.5)
+        at = np.floor(part[:, k] / cell)
+        names.append(np.unique(at))
+        size, pad = asked[:, k + 2], slack * (np.abs(asked[:, k]) + asked[:, k + 2] + span[k])
+        back = np.minimum((1 - t) * span[k], (1 - t) / t * size if t > 0 else np.inf)
+        first.append(np.searchsorted(names[k], np.floor((asked[:, k] - back - pad) / cell), "left"))
+        last.append(np.searchsorted(names[k], np.floor((asked[:, k] + (1 - t) * size + pad) / cell), "right"))
+        part = np.column_stack([part, np.searchsorted(names[k], at)])
+    key = part[:, 4].astype(np.int64) * len(names[1]) + part[:, 5].astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, part, whole = key[order], part[order, :4], whole[order]
+    area = part[:, 2] * part[:, 3]
+    expand = lambda n: (np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    for i in range(0, len(boxes), 256):
+        j = min(i + 256, len(boxes))
+        row, nth = expand(np.where(usable[i:j], last[0][i:j] - first[0][i:j], 0))
+        column = (first[0][i:j][row] + nth) * len(names[1])
+        lo, hi = np.searchsorted(key, column + first[1][i:j][row], "left"), np.searchsorted(key, column + last[1][i:j][row], "left")
+        counts = np.maximum(hi - lo, 0)
+        total = np.bincount(row, counts, minlength=j - i).astype(np.int64)
+        while i < j:
+            n = max(1, int(np.searchsorted(np.cumsum(total), most, "right")))
+            n = min(n, j - i)
+            cut = int(np.searchsorted(row, n, "left"))
+            which, nth = expand(counts[:cut])
+            index, q = lo[:cut][which] + nth, row[:cut][which]
+            a, b = asked[i : i + n][q], part[index]
+            w = np.minimum(a[:, 0] + a[:, 2], b[:, 0] + b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+            h = np.minimum(a[:, 1] + a[:, 3], b[:, 1] + b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
+            both = np.maximum(w, 0) * np.maximum(h, 0)
+            overlap = both / (a[:, 2] * a[:, 3] + area[index] - both)
+            good = (overlap >= least) & (overlap > 0)
+            starts = np.concatenate([[0], np.cumsum(np.bincount(q[good], minlength=n))])
+            yield i, i + n, starts, whole[index[good]], overlap[good]
+            row, lo, counts, total, i = row[cut:] - n, lo[cut:], counts[cut:], total[n:], i + n
+
+
+def matches_by_score(truth: np.ndarray, boxes: np.ndarray, scores: np.ndarray, thresholds) -> np.ndarray:
+    """For each threshold and each found box in its place: the index of the true box it takes, by falling
+    score; -1 for none. Of true boxes that overlap alike the first is taken; equal ones wait in one queue."""
+    order = np.lexsort(truth.T[::-1])
+    new = np.ones(len(truth), bool)
+    new[1:] = (truth[order[1:]] != truth[order[:-1]]).any(1)
+    starts = np.flatnonzero(new)
+    ends, heads = np.append(starts[1:], len(truth)), [starts.copy() for _ in thresholds]
+    out = np.full((len(thresholds), len(boxes)), -1, np.int64)
+    turn = np.argsort(-scores, kind="stable")
+    for first, last, at, index, overlap in near_boxes(truth[order[starts]], boxes[turn], min(thresholds)):
+        until, at = ends[index], at.tolist()
+        for k in range(first, last):
+            own = slice(at[k - first], at[k - first + 1])
+            if own.start == own.stop:
+                continue
+            near, over, end = index[own], overlap[own], until[own]
+            for n, (least, head) in enumerate(zip(thresholds, heads)):
+                next_of = head[near]
+                left = np.where(next_of < end, over, -1.0)
+                best = left.max()
+                if best >= least and best > 0:
+                    same = np.flatnonzero(left == best)
+                    pick = same[0] if len(same) == 1 else same[order[next_of[same]].argmin()]
+                    out[n, turn[k]] = order[next_of[pick]]
+                    head[near[pick]] += 1
+    return out
+
+
 def greedy_matches(truth: list[tuple], found: list[tuple], least: float = 0.5) -> list[int | None]:
     """For each found (score, box) in its place: the index of the true box it takes, by falling score."""
-    taken: set[int] = set()
-    out: list[int | None] = [None] * len(found)
-    for k in sorted(range(len(found)), key=lambda k: (-found[k][0], k)):
-        best = max(((iou(found[k][1], b), -j) for j, b in enumerate(truth) if j not in taken), default=(0.0, 0))
-        if best[0] >= least and best[0] > 0:
-            taken.add(-best[1])
-            out[k] = -best[1]
-    return out
+    table = lambda boxes: np.array(boxes, float).reshape(-1, 4)
+    got = matches_by_score(table(truth), table([b for _, b in found]), np.array([s for s, _ in found], float), [least])[0]
+    return [None if h < 0 else h for h in got.tolist()]
 
 
-def match_detections(truth: DataFrame, found: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """(keys..., det_id, score, hit): found boxes matched one to one within document and label.
-    truth: keys..., bbox; found: keys..., det_id, score, bbox."""
+def match_at(truth: DataFrame, found: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
+    """(keys..., det_id, score, threshold, hit): found boxes matched one to one within document and label, at
+    each threshold. truth: keys..., bbox, and truth_id if ties between true boxes go by it (else by the box);
+    found: keys..., det_id, score, bbox."""
+    sides = ["x", "y", "width", "height"]
 
     def one(_, t: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        box = lambda b: (b["x"], b["y"], b["width"], b["height"])
-        f = f.sort_values("det_id").reset_index(drop=True)
-        hits = greedy_matches([box(b) for b in t["bbox"]], list(zip(f["score"], [box(b) for b in f["bbox"]])), least)
-        got = f[[*keys, "det_id", "score"]].copy()
-        got["hit"] = pd.Series([int(h is not None) for h in hits], dtype="int32")
-        return got
+        t, f = t.sort_values(ties, kind="stable"), f.sort_values("det_id", kind="stable")
+        hits = matches_by_score(t[sides].to_numpy(float), f[sides].to_numpy(float), f["score"].to_numpy(float), thresholds)
+        own = f[[*keys, "det_id", "score"]]
+        return pd.concat([own.assign(threshold=x, hit=(h >= 0).astype("int32")) for x, h in zip(thresholds, hits)])
 
+    ties = ["truth_id"] if "truth_id" in truth.columns else sides
     kinds = {x.name: x.dataType.simpleString() for x in found.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "det_id", "score"]) + ", hit int"
-    t, f = truth.select(*keys, "bbox"), found.select(*keys, "det_id", "score", "bbox")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "det_id", "score"]) + ", threshold double, hit int"
+    parts = shuffle_parts(found.sparkSession)  # few bytes make much work: not to be put together
+    flat = lambda df, *more: df.select(*keys, *more, *[F.col("bbox")[s].alias(s) for s in sides]).repartition(parts, *keys)
+    t, f = flat(truth, *[c for c in ties if c == "truth_id"]), flat(found, "det_id", "score")
     return reachable(t).groupBy(*keys).cogroup(f.groupBy(*keys)).applyInPandas(one, schema)
 
 
+def match_detections(truth: DataFrame, found: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """(keys..., det_id, score, hit): as match_at, at one threshold."""
+    return match_at(truth, found, keys, [float(least)]).drop("threshold")
+
+
 def mean_average_precision(truth: DataFrame, found: DataFrame, document: str, label: str, thresholds=None) -> DataFrame:
-    """(label, threshold, ap): all-points average precision of each true label. Columns as match_detections."""
-    from pyspark.sql import Window
-
-    total = truth.groupBy(label).agg(F.count("*").alias("positives"))
-    out = None
-    for t in thresholds or [k / 100 for k in range(50, 100, 5)]:
-        flags = match_detections(truth, found, [document, label], t)
-        order = Window.partitionBy(label).orderBy(F.desc("score"), document, "det_id")
-        rows = flags.withColumn("precision", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(order))
-        rows = rows.withColumn("envelope", F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        area = rows.where("hit = 1").groupBy(label).agg(F.sum("envelope").alias("area"))
-        part = total.join(area, label, "left").select(label, F.lit(t).alias("threshold"), F.coalesce(F.col("area") / F.col("positives"), F.lit(0.0)).alias("ap"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(label, threshold, ap): all-points average precision of each true label. Columns as match_at."""
+    steps = [float(t) for t in thresholds or [k / 100 for k in range(50, 100, 5)]]
+    total = truth.groupBy(label).agg(F.count("*").alias("positives")).withColumn("threshold", F.explode(F.array(*map(F.lit, steps))))
+    flags = match_at(truth, found, [document, label], steps)
+    rows = precision_recall(flags, [label, "threshold"], "score", "hit", [document, "det_id"])
+    area = rows.where("hit = 1").groupBy(label, "threshold").agg(F.sum("envelope").alias("area"))
+    return total.join(area, [label, "threshold"], "left").select(label, "threshold", F.coalesce(F.col("area") / F.col("positives"), F.lit(0.0)).alias("ap"))
 
 
 def token_grid(tokens: list[str]) -> list[dict]:

@@ -71,4 +71,4 @@ def detection_map(spark, sf_dir):
     boxes = Q.part_boxes(spark, sf_dir).withColumn("label", F.concat(F.lit("c"), (F.col("p_partkey") % 3).cast("string")))
     b = F.col("bbox")
     found = boxes.where("p_partkey % 7 <> 0").select("page", "label", F.col("p_partkey").alias("det_id"), (F.col("p_partkey") * 37 % 101 / F.lit(100.0)).alias("score"), G.box(b["x"] + F.col("p_partkey") % 4, b["y"], b["width"], b["height"]).alias("bbox"))
-    return L.mean_average_precision(boxes.select("page", "label", "bbox"), found, "page", "label", (0.5, 0.75))
+    return L.mean_average_precision(boxes.select("page", "label", F.col("p_partkey").alias("truth_id"), "bbox"), found, "page", "label", (0.5, 0.75))
