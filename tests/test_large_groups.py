@@ -70,3 +70,26 @@ def test_overlaps_on_crowded_pages(spark):
     for k, (p, b) in enumerate(boxes):
         others = [layout.iou(b, c) for j, (q, c) in enumerate(boxes) if b and c and q == p and j != k]
         assert abs(found[k] - max(others, default=0.0)) < 1e-12, k
+
+
+def test_spans_of_crowded_pages(spark):
+    from vellumine.operators import segments
+
+    g = random.Random(4)
+    kinds = ["table", "figure", "formula", "text", "other"]
+    regions = [(p, k, g.choice(kinds), None if k == 7 else (g.randrange(60) * 2.0, g.randrange(60) * 2.0, g.randrange(25) * 1.0, g.randrange(25) * 1.0)) for p, n in ((0, 250), (1, 4)) for k in range(n)]
+    regions.append((1, 900, "other", (-1e12, -1e12, 2e11, 2e11)))
+    spans = [(p, k, None if k == 3 else (g.randrange(160) * 1.0 - 10, g.randrange(160) * 1.0 - 10, 0.0, 0.0)) for p in (0, 1, 2) for k in range(200)]
+    as_row = lambda b: b and dict(zip(("x", "y", "width", "height"), b))
+    got = segments.assign_spans(spark.createDataFrame([(p, k, as_row(b)) for p, k, b in spans], f"page int, span_id int, bbox {BOX}"), spark.createDataFrame([(p, k, c, as_row(b)) for p, k, c, b in regions], f"page int, region_id int, class string, bbox {BOX}"), ["page"], 6.0)
+    found = {(r.page, r.span_id): r.region_id for r in got.collect()}
+    assert len(found) == len(spans)
+    for p, k, s in spans:
+        ways = []
+        for q, region, kind, b in regions:
+            if s and b and p == q:
+                d2 = sum((v - max(lo, min(v, lo + size))) ** 2 for v, lo, size in ((s[0], b[0], b[2]), (s[1], b[1], b[3])))
+                if d2 <= 36:
+                    ways.append((0, -segments.PRIORITY.get(kind, 0), b[2] * b[3], region) if d2 == 0 else (1, d2, 0, region))
+        assert found[p, k] == (min(ways)[-1] if ways else None), (p, k)
+    assert "BroadcastHashJoin" not in plan(got)

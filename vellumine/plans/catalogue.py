@@ -375,8 +375,8 @@ def span_region_assign(spark, sf_dir):
     kinds = F.array(*[F.lit(x) for x in ("table", "figure", "formula", "text", "other")])
     regions = part_boxes(spark, sf_dir).select("page", F.col("p_partkey").alias("region_id"), F.element_at(kinds, (F.col("p_partkey") % 5 + 1).cast("int")).alias("class"), "bbox")
     l = table(spark, sf_dir, "lineitem")
-    spans = l.select((F.col("l_partkey") % 50).alias("page"), (((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")).alias("span_id"), G.box(F.col("l_suppkey") * 7 % 200, F.col("l_orderkey") * 3 % 220, F.lit(0), F.lit(0)).alias("bbox")).distinct()
-    got = S.assign_spans(spans, regions, ["page"], 12.0)
+    spans = l.select((F.col("l_partkey") % 50).alias("page"), (((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")).alias("span_id"), G.box(F.col("l_suppkey") * 7 % 200, F.col("l_orderkey") * 3 % 220, F.lit(0), F.lit(0)).alias("bbox"))
+    got = S.assign_spans(spans, regions, ["page"], 12.0).distinct()  # the same span, the same region
     return got.withColumn("region_id", F.coalesce("region_id", F.lit(-1)))  # an orphan: -1
 
 
