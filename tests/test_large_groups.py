@@ -93,3 +93,14 @@ def test_spans_of_crowded_pages(spark):
                     ways.append((0, -segments.PRIORITY.get(kind, 0), b[2] * b[3], region) if d2 == 0 else (1, d2, 0, region))
         assert found[p, k] == (min(ways)[-1] if ways else None), (p, k)
     assert "BroadcastHashJoin" not in plan(got)
+
+
+def test_cells_of_one_place(spark):
+    from pyspark.sql import functions as F
+
+    from vellumine.operators import checks as C
+
+    rows = [(1, 0, 1, "b"), (1, 0, 1, "a"), (1, 0, 1, None), (1, 2, 0, "c"), (2, 0, 0, None)]
+    cell = F.struct("row", "column", F.col("text").isNull().alias("empty"), "text").alias("cell")
+    got = spark.createDataFrame(rows, "id int, row int, column int, text string").select("id", cell).groupBy("id").agg(C.least_cells("cell").alias("cells"))
+    assert {r.id: r.grid for r in got.select("id", C.grid_of_cells(F.col("cells")).alias("grid")).collect()} == {1: [["", "a"], ["", ""], ["c", ""]], 2: [[""]]}

@@ -176,10 +176,20 @@ def grid_of_cells(cells: Column) -> Column:
     place = lambda r, c: F.concat_ws(",", r.cast("string"), c.cast("string"))
     at = F.map_from_entries(F.transform(cells, lambda c: F.struct(place(c["row"], c["column"]), c["text"])))
     upto = lambda name: F.sequence(F.lit(0), F.coalesce(F.array_max(F.transform(cells, lambda c: c[name])), F.lit(0)))
-    grid = F.transform(upto("row"), lambda r: F.transform(upto("column"), lambda c: F.coalesce(F.try_element_at(at, place(r, c)), F.lit(""))))
+    known = F.array(F.struct(at.alias("at"), upto("column").alias("columns")))  # made once, not for each place
+    fill = lambda k: F.transform(upto("row"), lambda r: F.transform(k["columns"], lambda c: F.coalesce(F.try_element_at(k["at"], place(r, c)), F.lit(""))))
+    grid = F.element_at(F.transform(known, fill), 1)
     return F.when(F.size(cells) > 0, grid).otherwise(F.array().cast("array<array<string>>"))
 
 
+def least_cells(cell: str) -> Column:
+    """Aggregate: cells (row, column, empty, text) with the least text of each place, `empty` ones last."""
+    ranked = F.sort_array(F.collect_list(cell))
+    place = lambda c: F.struct(c["row"], c["column"])
+    alone = lambda cells: F.filter(cells, lambda c, i: (i == 0) | ~place(c).eqNullSafe(place(F.get(cells, i - 1))))
+    return F.element_at(F.transform(F.array(ranked), alone), 1)
+
+
 def block_text(kind: Column, text: Column, headers: Column, rows: Column, caption: Column) -> Column:
     """What a block says: its text; a table's headers and rows, a line each; a figure's caption."""
     lines = F.concat(F.array(F.array_join(headers, " ")), F.transform(rows, lambda r: F.array_join(r, " ")))

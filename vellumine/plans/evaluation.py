@@ -197,8 +197,9 @@ def figure_markdown(spark, sf_dir):
 def dense_grid(spark, sf_dir):
     """Cells of each order's table as dense rows."""
     row, column = (F.col("l_linenumber") - 1).alias("row"), (F.col("l_quantity").cast("int") % 3).alias("column")
-    c = Q.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", row, column).agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("text"))
-    cells = c.groupBy("l_orderkey").agg(F.collect_list(F.struct("row", "column", "text")).alias("cells"))
+    text = F.concat("l_returnflag", "l_linestatus")
+    lines = Q.table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(row, column, text.isNull().alias("empty"), text.alias("text")).alias("cell"))
+    cells = lines.groupBy("l_orderkey").agg(C.least_cells("cell").alias("cells"))  # one shuffle, no sort by strings
     return cells.select("l_orderkey", F.array_join(F.flatten(C.grid_of_cells(F.col("cells"))), "|").alias("grid"))
 
 
